@@ -63,6 +63,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids sent to all tasks; more are joined by shuffle.
+SENT_IDS = 2_000_000
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in a written table of distinct ids."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in a written table of distinct ids."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_anti")
+
+
 def let(value: Column, body) -> Column:
     """Bind value once inside an expression: body gets it as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -136,9 +136,10 @@ def fences(sketches: DataFrame) -> DataFrame:
     wide = keep(wide, "fences")
     own = wide.where((F.col("source") != ALL) & (F.col("lang") != ALL))
     of_lang = wide.where((F.col("source") == ALL) & (F.col("lang") != ALL)).select("lang", F.struct("docs", *values).alias("l"))
-    of_all = wide.where((F.col("source") == ALL) & (F.col("lang") == ALL)).select(F.lit(1).alias("one"), F.struct("docs", *values).alias("g"))
-    joined = own.withColumn("one", F.lit(1)).join(of_lang, "lang", "left").join(F.broadcast(of_all), "one", "left")
-    pick = lambda v: F.when(F.col("docs") >= GROUP_MIN, F.col(v)).when(F.col("l.docs") >= GROUP_MIN, F.col(f"l.{v}")).otherwise(F.col(f"g.{v}"))
+    of_all = wide.where((F.col("source") == ALL) & (F.col("lang") == ALL)).first()  # one row
+    joined = own.join(of_lang, "lang", "left")
+    overall = lambda v: F.lit(of_all[v] if of_all else None).cast("long")
+    pick = lambda v: F.when(F.col("docs") >= GROUP_MIN, F.col(v)).when(F.col("l.docs") >= GROUP_MIN, F.col(f"l.{v}")).otherwise(overall(v))
     return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(v).alias(f"_{v}") for v in values])
 
 
