@@ -18,6 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -37,8 +38,8 @@ COUNTERS, COUNTER_PARTS = 1 << 20, 64
 #: Rows of prefixes in one task; a shingle with more rows above the mean is dealt to several tasks.
 TASK_ROWS = 1_000_000
 HOT_ROWS = 50_000
-#: Words remembered by a worker.
-REMEMBERED = 1_000_000
+#: Bytes of text that are hashed together.
+GROUP_BYTES = 1_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -48,33 +49,62 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts; remembers the hashes of words."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split() if text else []
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        h = self.word_hashes(words)
-        with np.errstate(over="ignore"):
-            if len(h) < WORDS:
-                return _mixed((h * _FACTORS[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-            n = len(h) - WORDS + 1
-            total = np.zeros(n, dtype=np.uint64)
-            for i in range(WORDS):
-                total += h[i : i + n] * _FACTORS[i]
-            return np.unique(_mixed(total))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+#: A random 64-bit value for each byte (upper case as lower case), and the base of the polynomial over a word's bytes.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _FACTORS[0])[_LOWER]
+_BASE = 0xD1342543DE82EF95
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    up = np.full(n, _BASE, dtype=np.uint64)
+    down = np.full(n, pow(_BASE, -1, 2**64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in the bytes of several texts, and where each text's words begin. rows: byte offsets."""
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    solid = ~_SPACE[data]
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1]
+    end[:-1] &= ~solid[1:]
+    borders = rows[(rows > 0) & (rows < len(data))]
+    begin[borders] = solid[borders]
+    end[borders - 1] = solid[borders - 1]
+    s, e = np.flatnonzero(begin), np.flatnonzero(end)
+    upto = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=upto[1:])
+    return _mixed((upto[e + 1] - upto[s]) * down[s]), np.searchsorted(s, rows)
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of every text of a column; empty for nulls."""
+    texts = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    group = (offsets[:-1] - offsets[0]) // GROUP_BYTES
+    cuts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)] if len(group) else np.zeros(1, dtype=np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = offsets[a : b + 1] - offsets[a]
+        h, words = _word_hashes(data[offsets[a] : offsets[b]], rows)
+        n = max(0, len(h) - WORDS + 1)
+        total = np.zeros(n, dtype=np.uint64)
+        for i in range(WORDS):
+            total += h[i : i + n] * _FACTORS[i]
+        total = _mixed(total)
+        for lo, hi in zip(words[:-1], words[1:], strict=True):
+            if hi - lo >= WORDS:
+                yield np.unique(total[lo : hi - WORDS + 1])
+            elif hi > lo:
+                yield _mixed((h[lo:hi] * _FACTORS[: hi - lo]).sum(keepdims=True, dtype=np.uint64) + np.uint64(hi - lo))
+            else:
+                yield total[:0]
 
 
 def prefix_size(n: int) -> int:
@@ -94,13 +124,12 @@ def summaries(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, fp) and, with a part number, of summed frequency counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts = Shingler(), np.zeros(COUNTERS, dtype=np.int32)
+        counts = np.zeros(COUNTERS, dtype=np.int32)
         kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()], ["doc_id", "n", "fp", "part", "counts"]
         seen = False
         for batch in batches:
             sizes, prints = [], []
-            for text in batch.column("text"):
-                s = shingle(text.as_py())
+            for s in shingle_sets(batch.column("text")):
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
@@ -139,11 +168,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     mean = float(counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, df = Shingler(), sent.value
+        df = sent.value
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                s = shingle(text.as_py())
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
                 if not len(s):
                     continue
                 rarity = df[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -204,24 +232,32 @@ def open_pairs(tiles: DataFrame, groups: DataFrame) -> DataFrame:
     return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & sized).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """(id, n, bits, hashes): the sorted array of each text's set and its bitmap of at least two bits a shingle."""
+def bitmaps(docs: DataFrame) -> DataFrame:
+    """(id, n, x): a bitmap of each text's set, with two bits a shingle at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         for batch in batches:
-            sizes, maps, arrays = [], [], []
-            for text in batch.column("text"):
-                s = shingle(text.as_py())
+            sizes, maps = [], []
+            for s in shingle_sets(batch.column("text")):
                 width = 1 << max(6, (2 * len(s) - 1).bit_length())
                 bits = np.zeros(width, dtype=bool)
                 bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
                 sizes.append(len(s))
                 maps.append(np.packbits(bits, bitorder="little").tobytes())
-                arrays.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(arrays, pa.binary())], ["id", "n", "bits", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], ["id", "n", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n int, bits binary, hashes binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n int, x binary")
+
+
+def arrays(docs: DataFrame) -> DataFrame:
+    """(id, n, x): the sorted array of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "x"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n int, x binary")
 
 
 def overlap_bound(na: int, bits_a: bytes, nb: int, bits_b: bytes) -> int:
@@ -236,9 +272,8 @@ def overlap_bound(na: int, bits_a: bytes, nb: int, bits_b: bytes) -> int:
     return (x & y).bit_count() + min(na - x.bit_count(), nb - y.bit_count())
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
-    may, exact = "a long, b long", "a long, b long"
+def links(pairs: DataFrame, maps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the threshold; only the texts of pairs that pass the bitmaps are read again."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,13 +290,24 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(WHOLE * common >= PART * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def beside(some: DataFrame, what: str) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(what).alias("xa"))
-        b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(what).alias("xb"))
+    def beside(some: DataFrame, held: DataFrame) -> DataFrame:
+        a = held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"))
+        b = held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"))
         return some.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb")
 
-    passed = beside(pairs, "bits").mapInArrow(possible, may)
-    return beside(passed, "hashes").mapInArrow(certain, exact)
+    passed = keep(beside(pairs, maps).mapInArrow(possible, "a long, b long"), "pairs")
+    ids = keep(passed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    return beside(passed, keep(arrays(only_ids(docs, ids)), "sets")).mapInArrow(certain, "a long, b long")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on edges (u, v) with u > v."""
+    both = edges.union(edges.select("v", "u"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    lows = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(lows.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -269,13 +315,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     edges = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(limit):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lows, "u")
-        small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v")))
-        now = keep(small.where("u <> v").distinct(), "edges")
+        now = keep(_contracted(_contracted(edges)), "edges")
         forget(edges)
         edges = now
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -298,10 +338,10 @@ def join(docs: DataFrame) -> DataFrame:
     own = without_ids(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), keep(copies, "copies"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
     tiles = keep(shared(prefixes(own, frequencies(summary)), tasks), "tiles")
-    sets = keep(set_table(only_ids(own, keep(tiles.select(F.col("id").alias("doc_id")).distinct(), "candidates"))), "sets")
-    first = keep(links(central_pairs(tiles), sets), "links")
+    maps = keep(bitmaps(only_ids(own, keep(tiles.select(F.col("id").alias("doc_id")).distinct(), "candidates"))), "bitmaps")
+    first = keep(links(central_pairs(tiles), maps, own), "links")
     groups = components(first)
-    second = keep(links(open_pairs(tiles, groups), sets), "links")
+    second = keep(links(open_pairs(tiles, groups), maps, own), "links")
     groups = components(first.union(second))
     ids = rows.join(several, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return ids.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
