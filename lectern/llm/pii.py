@@ -35,20 +35,22 @@ GIVEN = {
 _PART = r"\p{Lu}(?:\p{Ll}+|\p{Lu}+)(?:[-'’]\p{L}+)?"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAMES = "|".join(x for ns in GIVEN.values() for n in ns for x in (n, n.upper()))
+#: Capitals that begin a title or a given name: other places are passed over at once.
+_FIRST = "".join(sorted({x[0] for xs in (*TITLES.values(), *GIVEN.values()) for x in xs}))
 #: In order of preference where several could begin at one place.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|ghs|xoxb|xoxp|glpat)[-_][A-Za-z0-9_-]{16,120}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])"),
-    ("person", rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_PART}(?: {_PART}){{0,2}}|(?:{_NAMES}) {_PART}(?: {_PART})?)(?!\p{{L}})"),
+    ("person", rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLE})\.? {_PART}(?: {_PART}){{0,2}}|(?:{_NAMES}) {_PART}(?: {_PART})?)(?!\p{{L}})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: A text without any of these holds no entity.
-GATE = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:{_NAMES}) \p{{Lu}}|eyJ|[A-Fa-f]{{32}}"
+#: A text without either holds no entity.
+GATE = rf"[0-9@]|eyJ|(?=[{_FIRST}])(?:(?:{_TITLE})\.?|{_NAMES}) \p{{Lu}}|[A-F]{{32}}"
 HEX, CONSONANTS, VOWELS = "0123456789abcdef", "bdfghklmnprstvzj", "aeiouaeiouaeioua"
 CYRILLIC = ("abdefghijklmnoprstuvz", "абдефгхийклмнопрстувз")
 GREEK = ("abdefghijklmnoprstuvz", "αβδεφγηιζκλμνοπρστυωξ")
@@ -205,6 +207,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def changed_attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate is not theirs alone."""
+    found = keep(found, "entities")
     drawn = keep(found.select("kind", "norm", F.lit(0).alias("attempt"), core(key, F.col("kind"), F.col("norm"), F.lit(0)).alias("drawn")), "surrogates")
     bare = F.when(F.col("kind") == "email", F.regexp_replace(F.col("norm"), r"\.[^.]*$", "")).when(F.col("kind") == "phone", F.regexp_replace(F.col("norm"), r"^[0-9]*\|", "")).otherwise(F.col("norm"))
     own = F.when(F.col("kind") == "ip", F.col("norm")).when(F.col("kind").isin("surname", "given-m", "given-f", "given-n"), F.col("norm")).otherwise(F.lower(_alnum(bare)))
