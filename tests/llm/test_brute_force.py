@@ -1,0 +1,533 @@
+"""Operators against plain Python on small inputs and on the smallest corpus."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lectern.llm import decontaminate, langid, license_scan, ngram_join, pii, pieces, quality_classifier, quality_rules, queries, sharding, sp_sampling, token_counts
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()]
+
+
+# --- token counts
+
+
+def test_rollup_totals_equal_a_recount(spark, tmp_path):
+    files = token_counts.DEFAULT_FILES
+    ddl = "doc_id long, text string, lang string, source string"
+    old = spark.createDataFrame([(1, "one two three", "en", "a"), (2, "vier fünf", "de", "a"), (3, "six", None, "b")], ddl)
+    new = spark.createDataFrame([(1, "one two", "en", "a"), (2, "vier fünf", "de", "b")], ddl)
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    first, second = token_counts.count_tokens(old), token_counts.count_tokens(new)
+    assert store.commit("b1", token_counts.signed(first, 1))
+    assert not store.commit("b1", token_counts.signed(first, 1))  # sent again
+    assert store.commit("b2", token_counts.revised(first.where("doc_id < 3"), second))
+    assert store.commit("b3", token_counts.signed(first.where("doc_id = 3"), -1))
+
+    def expected():
+        out = Counter()
+        for _, text, lang, source in [(1, "one two", "en", "a"), (2, "vier fünf", "de", "b")]:
+            for v, f in files.items():
+                out[source, lang, v] += len(token_counts.encoding(f).encode_ordinary(text))
+        return dict(out)
+
+    def totals():
+        return {(r.source, r.lang, r.version): r.tokens for r in store.totals().collect() if r.docs}
+
+    assert totals() == expected()
+    store.compact()
+    assert totals() == expected()
+    assert not store.commit("b2", token_counts.signed(first, 1))  # still committed after folding
+    assert store.commit("b4", token_counts.signed(second.where("doc_id = 2"), -1))
+    assert ("b", "de", "byte_bpe_50k/1") not in totals()
+
+
+def test_token_query_counts_distinct_texts(spark, corpus, docs):
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens, r.bytes) for r in queries.op1_token_counts(spark, corpus).collect()}
+    first = {}
+    for d, text, lang, source in sorted(docs):
+        first.setdefault(text, (lang, source))
+    want = defaultdict(lambda: [0, 0, 0])
+    for _, _, lang, source in docs:
+        for v in token_counts.DEFAULT_FILES:
+            want[source, lang, v]  # noqa: B018
+    for text, (lang, source) in first.items():
+        for v, f in token_counts.DEFAULT_FILES.items():
+            w = want[source, lang, v]
+            w[0] += 1
+            w[1] += len(token_counts.encoding(f).encode_ordinary(text))
+            w[2] += len(text.encode())
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+# --- decontamination
+
+
+def distance_in(p, x):
+    before = [0] * (len(x) + 1)
+    for i, a in enumerate(p, 1):
+        now = [i]
+        for j, b in enumerate(x, 1):
+            now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (a != b)))
+        before = now
+    return min(before)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab ", min_size=1, max_size=14), st.text("ab ", max_size=24))
+def test_myers(p, x):
+    best, end = decontaminate.myers(p, x)
+    assert best == distance_in(p, x)
+    assert end == 0 or distance_in(p, x[:end]) == best
+
+
+def test_items_with_edits_are_found_and_others_are_not(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(20)]
+    rows, want = [], set()
+    for d in range(120):
+        text = " ".join(rng.choices(words, k=60))
+        if d % 2:
+            i = rng.randrange(20)
+            item = list(items[i][1])
+            for _ in range(rng.randint(0, 2 * int(len(item) * decontaminate.BUDGET))):
+                at = rng.randrange(len(item))
+                item[at : at + 1] = rng.choice([[], ["z"], [item[at], "q"]])
+            text = f"{text}. {''.join(item).upper()}, {text}"
+        rows.append((d, text))
+    normal = {i: decontaminate.normal(t) for i, t in items}
+    for d, text in rows:
+        for i, t in normal.items():
+            if distance_in(t, decontaminate.normal(text)) <= int(len(t) * decontaminate.BUDGET):
+                want.add((d, i))
+    a = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_CHARS, 500):
+        got = decontaminate.matches(a, b, block_chars=block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert all(r.distance == distance_in(normal[r.item_id], decontaminate.normal(rows[r.doc_id][1])) for r in got)
+    assert 20 < len(want) < 60
+
+
+def test_every_exact_item_of_the_corpus_is_found(spark, corpus, docs):
+    items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
+    want = {(d, i) for d, text, *_ in docs for i, t in items if t in decontaminate.normal(text)}
+    got = {(r.doc_id, r.item_id) for r in queries.op2_decontamination(spark, corpus).collect()}
+    assert want and want <= got
+
+
+# --- quality rules
+
+
+def counts_of(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    seen = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {j for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_counts(spark, corpus, docs):
+    got = {r.doc_id: tuple(r)[1:7] for r in queries.op3_quality_rules(spark, corpus).collect()}
+    for d, text, *_ in docs:
+        n = counts_of(text)
+        assert got[d] == (*n, n[0] < 50 or 100 * n[4] > 50 * n[0])
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("ab \n", max_size=40), min_size=1, max_size=6))
+def test_base_counts_of_small_texts(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    rows = quality_rules.counts(df).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words").collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == {i: counts_of(t) for i, t in enumerate(texts)}
+
+
+def test_sketches_merge_and_bound_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    values = [*range(0, 40), 100, 1000, 12345, 2**40]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket(F.col("v")).alias("b")).select("v", "b", quality_rules.floor_of(F.col("b")).alias("f")).collect()
+    assert all(r.f <= r.v <= r.f * 1.125 + 1 for r in rows)
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
+    a = spark.createDataFrame([("en", "s", "marks", 3, 5), ("en", "t", "marks", 3, 2), ("en", "t", "marks", 4, 1)], "lang string, source string, ratio string, bucket int, n long")
+    assert {(r.bucket, r.n) for r in quality_rules.merge(a, "lang").collect()} == {(3, 7), (4, 1)}
+
+
+def test_junk_is_rejected_and_prose_kept(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda: " ".join(rng.choices(words, k=120)).capitalize() + "."
+    rows = [(d, prose(), "en", f"s{d % 3}") for d in range(300)] + [(1000 + d, "".join(f"{w}*** " for w in rng.choices(words, k=90)), "en", "s1") for d in range(20)]
+    got = {r.doc_id: r.kept for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[d] for d in range(300)) and not any(got[1000 + d] for d in range(20))
+
+
+# --- SentencePiece
+
+
+def all_segmentations(vocab, chunk):
+    index = {vocab.pieces[i]: i for i in range(vocab.size) if np.isfinite(vocab.log_p[i]) and i not in vocab.byte_of}
+    out = {}
+
+    def go(at, ids, lp):
+        if at == len(chunk):
+            out[tuple(ids)] = lp
+        for n in range(1, 17):
+            piece = chunk[at : at + n]
+            if len(piece) == n and piece in index:
+                go(at + n, [*ids, index[piece]], lp + vocab.log_p[index[piece]])
+
+    go(0, [], 0.0)
+    total = math.log(sum(map(math.exp, out.values())))
+    return {k: v - total for k, v in out.items()}
+
+
+def test_samples_follow_the_exact_distribution_without_replacement():
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    exact = {k: math.exp(v) for k, v in all_segmentations(vocab, "▁tin").items()}
+    scaled = {k: v**0.3 for k, v in exact.items()}
+    total = sum(scaled.values())
+    p = {k: v / total for k, v in scaled.items()}
+    n = 20000
+    by_rank = [Counter(), Counter()]
+    for t, rank, ids, lp, _ in sp_sampling.segment(vocab, ["tin"] * n, list(range(n)), 2, alpha=0.3):
+        by_rank[rank][tuple(ids)] += 1
+        assert math.isclose(lp, math.log(p[tuple(ids)]), abs_tol=1e-9)
+    for k, q in p.items():
+        assert abs(by_rank[0][k] / n - q) < 0.02
+        second = sum(p[j] * q / (1 - p[j]) for j in p if j != k)
+        assert abs(by_rank[1][k] / n - second) < 0.02
+
+
+def test_all_segmentations_are_emitted_once():
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    exact = all_segmentations(vocab, "▁river")
+    got = list(sp_sampling.segment(vocab, ["river"], [1], 1000))
+    assert {tuple(ids) for _, _, ids, _, _ in got} == set(exact)
+    assert len(got) == len(exact)
+    assert all(inc == 0 for *_, inc in got)
+    fewer = list(sp_sampling.segment(vocab, ["river"], [1], 5))
+    assert [x[2] for x in fewer] == [x[2] for x in got[:5]] and all(x[4] <= 0 for x in fewer) and fewer[-1][4] < 0
+
+
+def test_round_trip_and_batches(docs):
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    texts = [t for _, t, *_ in docs][:40] + ["\n\n a  b\n", "▁▁x", "\x00\x7f", "日本語 text", " ", "é" * 50]
+    together = list(sp_sampling.segment(vocab, texts, list(range(len(texts))), 3, seed=4, alpha=0.4))
+    assert all(vocab.decode(ids) == texts[t] for t, _, ids, *_ in together)
+    distinct = {(t, tuple(ids)) for t, _, ids, *_ in together}
+    assert len(distinct) == len(together)
+    alone = [x for t in range(len(texts)) for x in sp_sampling.segment(vocab, [texts[t]], [t], 3, seed=4, alpha=0.4)]
+    key = lambda x: (x[0], x[1], tuple(x[2]))
+    assert {key(x) for x in together} == {(t, r, tuple(ids)) for t, (r, ids) in ((t, y) for t in range(len(texts)) for y in ((x[1], x[2]) for x in sp_sampling.segment(vocab, [texts[t]], [t], 3, seed=4, alpha=0.4)))}
+    assert len(alone) == len(together)
+
+
+# --- language
+
+
+def test_chunk_probability_sums_all_segmentations():
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    for chunk in ("▁river", "▁a", "▁▁ab"):
+        index = {vocab.pieces[i]: i for i in range(vocab.size) if np.isfinite(vocab.log_p[i]) and i not in vocab.byte_of}
+        total = 0.0
+        for cuts in itertools.product((0, 1), repeat=len(chunk) - 1):
+            parts, word = [], chunk[0]
+            for c, cut in zip(chunk[1:], cuts, strict=True):
+                if cut:
+                    parts.append(word)
+                    word = c
+                else:
+                    word += c
+            parts.append(word)
+            if all(p in index for p in parts):
+                total += math.exp(sum(vocab.log_p[index[p]] for p in parts))
+        got = langid.chunk_scores(vocab, vocab.log_p[:, None], [chunk])[0, 0]
+        assert math.isclose(got, math.log(total), abs_tol=1e-9)
+
+
+def test_held_out_languages(spark, corpus, docs):
+    lang = {d: x for d, _, x, _ in docs}
+    got = queries.op5_language_id(spark, corpus).collect()
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {d for d in lang if zlib.crc32(str(d).encode()) % 4 == 2}
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) >= 0.95
+
+
+# --- licenses
+
+
+def base_of(text):
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    places, labels = [], set()
+    for phrase, label in license_scan.BASE:
+        p = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+LICENSED = ["The MIT License. MIT license!", "CC BY 4.0 and cc-by-sa 3.0, CC_BY", "gnu general public license gnu  general\npublic license", "Licensed under the GNU Lesser General Public License, version 2.1 or later.", "MIT license", "Apache License Apache License, Version 2.0", "all rights reserved", "in the public domain", "emit license", "GPLv3 gpl 3", "Kelvin KIT MIT licenSe"]
+
+
+def test_base_phrases(spark, docs):
+    rows = [(i, t) for i, t in enumerate(LICENSED)] + [(100 + d, t) for d, t, *_ in docs]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        r = got[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_of(text), text[:80]
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+def test_containment_and_priority(spark):
+    rows = [(i, t) for i, t in enumerate(LICENSED)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "cc-by,cc-by-sa"
+    assert got[3].labels == "lgpl" and got[3].n_detections == 1 and got[3].score == 0.9
+    assert got[6].labels == "all-rights-reserved" and got[7].labels == "public-domain"
+    assert got[8].labels == "" and got[9].labels == "gpl"
+
+
+def test_rules_against_plain_regular_expressions(spark, docs):
+    """Detections of every rule, suppressed by comparing all pairs."""
+    rules = license_scan.signatures()
+    assert len(rules) >= 300
+    texts = LICENSED + [t for _, t, *_ in docs if re.search("(?i)licen|cc by", t)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, text in enumerate(texts):
+        words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+        wide = "".join(f" {w} " for w in words)
+        found = []
+        for n, keyword, label, p, pattern in rules:
+            if keyword in words:
+                for m in re.finditer(pattern, wide):
+                    found.append((wide[: m.start()].count(" ") // 2, wide[: m.end()].count(" ") // 2, p, n, label))
+
+        def hidden(x, found=found):
+            return any(y[0] <= x[0] and y[1] >= x[1] and y[2] >= x[2] and y != x and ((y[0], y[1]) != (x[0], x[1]) or y[2] > x[2] or y[3] < x[3]) for y in found)
+
+        kept = [x for x in found if not hidden(x)]
+        assert got[d].n_detections == len(kept), text[:80]
+        base = set(filter(None, got[d].base_labels.split(",")))
+        assert got[d].labels == ",".join(sorted({x[4] for x in kept} | base))
+
+
+# --- n-gram join
+
+
+def groups_of(rows):
+    sets = {}
+    for d, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        s, t = sets[a], sets[b]
+        if s and t and 100 * len(s & t) >= 75 * len(s | t):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def near_copies(seed, n=220):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(120)]
+    passage = rng.choices(words, k=40)
+    bases = [rng.choices(words, k=rng.choice([3, 6, 20, 60, 150])) for _ in range(12)]
+    rows = []
+    for d in range(n):
+        w = list(rng.choice(bases)) if rng.random() < 0.8 else rng.choices(words, k=30)
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        if rng.random() < 0.3:
+            w += passage
+        rows.append((d, " ".join(w) if rng.random() < 0.7 else "\n".join(w).upper()))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_of_near_copies(spark, seed):
+    rows = near_copies(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups_of(rows)
+
+
+def test_groups_of_the_corpus(spark, corpus, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_ngram_join(spark, corpus).collect()}
+    assert got == groups_of([(d, t) for d, t, *_ in docs])
+
+
+def test_split_shingles_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", 500)
+    rows = near_copies(9)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups_of(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.integers(0, 60))
+def test_bitmaps_never_underestimate(a, b, common):
+    both = set(list(a)[:common])
+    b |= both
+
+    def bits(s):
+        width = 1 << max(6, (2 * len(s) - 1).bit_length())
+        out = np.zeros(width, dtype=bool)
+        out[[x % width for x in s]] = True
+        return np.packbits(out, bitorder="little").tobytes()
+
+    assert ngram_join.overlap_bound(len(a), bits(a), len(b), bits(b)) >= len(a & b)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 150), (150, 170)]
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 170: 150, 200: 150}
+
+
+# --- quality classifier
+
+
+def test_held_out_quality(spark):
+    """Held-out labels at a scale that has enough of both kinds."""
+    corpus = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{corpus}/labels.parquet").collect()}
+    got = [r for r in queries.op8_quality_classifier(spark, corpus).collect() if r.held_out and r.doc_id in labels]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got)
+    good, bad = [r.score for r in got if labels[r.doc_id] == 1], [r.score for r in got if labels[r.doc_id] == 0]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
+    assert np.mean([r.predicted == labels[r.doc_id] for r in got]) > 0.9
+
+
+def test_positive_unlabelled_fit_finds_the_negatives():
+    rng = np.random.default_rng(0)
+    p = rng.normal(1.0, 1.0, (1500, quality_classifier.WIDTH))
+    u = np.concatenate([rng.normal(1.0, 1.0, (900, quality_classifier.WIDTH)), rng.normal(-1.0, 1.0, (600, quality_classifier.WIDTH))])
+    net = quality_classifier.fit(p, u, 0.6)
+    s = net.scores(u)
+    assert (s[:900] > 0.5).mean() > 0.95 and (s[900:] < 0.5).mean() > 0.95
+    assert abs(quality_classifier.estimate_prior(p, u) - 0.6) < 0.15
+
+
+# --- sharding
+
+
+def placed(rows, shards=8, whole=0.01):
+    import hashlib
+
+    keyed = sorted((hashlib.md5((t or "").encode()).hexdigest(), d, len((t or "").encode()) + 1) for d, t in rows)
+    total = sum(k[2] for k in keyed)
+    by_text = Counter()
+    for h, _, size in keyed:
+        by_text[h] += size
+    out, at, start = {}, 0, {}
+    for h, d, size in keyed:
+        start.setdefault(h, at)
+        before = start[h] if by_text[h] <= whole * total / shards else at
+        out[d] = shards * before // total
+        at += size
+    slots, seen = {}, Counter()
+    for _, d, _ in keyed:
+        slots[d] = (out[d], seen[out[d]])
+        seen[out[d]] += 1
+    return slots
+
+
+def test_shards_of_the_corpus(spark, corpus, docs):
+    got = queries.op9_sharding(spark, corpus).collect()
+    want = placed([(d, t) for d, t, *_ in docs])
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+    text = {d: t.encode() for d, t, *_ in docs}
+    assert all(r.size == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in got)
+
+
+def test_a_group_of_a_third_of_all_rows_is_split(spark):
+    rng = random.Random(1)
+    rows = [(d, "the same text over and over" if d % 3 == 0 else "".join(rng.choices("abc ", k=rng.randint(1, 60)))) for d in range(3000)]
+    got = sharding.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == placed(rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) < 200
+
+
+# --- surrogates
+
+PRIVATE = [
+    "Mr. John Smith met John Smith; write to joe.blow-7@mail1.example.com or JOE.BLOW-7@mail1.example.com.",
+    "Call +1 (504) 555-7713 or +1 504.555.7713, card 4539578763621486, ip 123.43.25.46.",
+    'token = "9233a8ecf7c5b09fe5949719b69233a8ecf7c5b0" id 123-45-6789 DE44 5001 0517 5407 3249 31',
+    "Frau Müller und Mary Jones, Мария Петрова, JOHN SMITH, Mr. Smith",
+]
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    out = [r.text for r in sorted(pii.replaced(spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string"), "key").collect(), key=lambda r: r.doc_id)]
+    whole = "\n".join(out)
+    for secret in ("Smith", "SMITH", "joe.blow", "JOE.BLOW", "504", "7713", "4539578763621486", "123.43.25.46", "9233a8ec", "123-45-6789", "5001 0517", "Müller", "Jones", "Мария", "Петрова"):
+        assert secret not in whole
+    first = re.match(r"Mr\. (\w+) (\w+) met (\w+) (\w+); write to (\S+) or (\S+)\.$", out[0])
+    assert first and first[1] == first[3] and first[2] == first[4] and first[5] == first[6].lower()
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{4}-[0-9]@[a-z]{4}[0-9]\.[a-z]{7}\.com", first[5])
+    phones = re.match(r"Call \+1 \(([0-9]{3})\) ([0-9]{3})-([0-9]{4}) or \+1 ([0-9]{3})\.([0-9]{3})\.([0-9]{4}), card (4[0-9]{15}), ip ([0-9]{3})\.([0-9]{2})\.([0-9]{2})\.([0-9]{2})\.$", out[1])
+    assert phones and phones.groups()[:3] == phones.groups()[3:6]
+
+    def luhn(s):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10
+
+    assert luhn(phones[7]) == luhn("4539578763621486")
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" id [0-9]{3}-[0-9]{2}-[0-9]{4} DE[0-9]{2}( [0-9]{4}){4} [0-9]{2}', out[2])
+    names = re.match(r"Frau \w+ und (\w+a) \w+, ([а-я]+) ([а-я]+), (\w+) (\w+), Mr\. (\w+)$", out[3], re.I)
+    assert names and names[5] == names[5].upper() == first[2].upper() and names[6] == first[2]
+    again = [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string"), "other").collect()]
+    assert set(again).isdisjoint(out)
+
+
+@pytest.mark.parametrize("sent", [20_000, 0])
+def test_collisions_are_resolved(spark, monkeypatch, sent):
+    """All addresses of one-digit octets in use twice over: many surrogates collide at first."""
+    monkeypatch.setattr(pii, "SENT_ATTEMPTS", sent)
+    addresses = [f"{a}.{b}.{c}.{d}" for a in (1, 2, 3) for b in (4, 5) for c in (6, 7, 8) for d in range(1, 10)]
+    rows = [(i, f"from {x} to {addresses[-i]} end") for i, x in enumerate(addresses)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.entities(df)
+    assert found.count() == len(addresses)
+    got = {r.doc_id: r.text.split() for r in pii.replaced(df, "k").collect()}
+    table = {}
+    for i, text in rows:
+        for old, new in ((text.split()[1], got[i][1]), (text.split()[3], got[i][3])):
+            assert table.setdefault(old, new) == new
+    assert len(set(table.values())) == len(addresses)
+    assert set(table.values()).isdisjoint(addresses)
+
+
+def test_nothing_private_is_left_in_the_corpus(spark, corpus, docs):
+    got = {r.doc_id: r for r in queries.op10_pii(spark, corpus).collect()}
+    pattern = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+\d \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)|\b[0-9a-fA-F]{40}\b")
+    whole = {d: set(pattern.findall(t)) for d, t, *_ in docs}
+    assert any(whole.values())
+    for d, text, *_ in docs:
+        assert not whole[d] & set(pattern.findall(got[d].text))
+        if not whole[d]:
+            assert got[d].text == text
