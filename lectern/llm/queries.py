@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, ngram_join, pii, quality_classifier, quality_rules, sharding, sp_sampling, token_counts
+from . import decontaminate, langid, license_scan, ngram_join, oracles, pii, quality_classifier, quality_rules, sharding, sp_sampling, token_counts
 from ._common import documents, id_mod, keep, shared_dir, table
 
 #: The key of surrogates in these queries; real corpora pass a secret one.
@@ -80,3 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_license_scan, op7_ngram_join, op8_quality_classifier, op9_sharding, op10_pii,
     )
 }
+
+#: The other six hold tokenizers, edit distances, lattices, trained models or keyed hashes, which SQL does not express.
+ORACLE_SQL = oracles.ORACLE_SQL
