@@ -24,6 +24,10 @@ from ._common import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing, and the words between.
+ANY_BREAK, ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Every phrase and rule holds one of these, or "cc" and "by" as neighbouring words.
+STEMS = ("license", "licence", "gpl", "mpl", "cddl", "eupl", "wtfpl", "cc0", "bsd", "domain", "reserved", "commons")
 
 # Base phrases and their labels.
 BASE = (
@@ -154,17 +158,16 @@ def _places(text: Column, pattern: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, word and base counts, first and last place, base and all labels, score, kept detections of every text."""
-    body = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    flat = F.trim(F.regexp_replace(body, WORD_BREAK, " "))
+    flat = F.trim(F.regexp_replace(F.translate(F.col("body"), UPPER, LOWER), WORD_BREAK, " "))
     rules = signatures()
-    keywords = sorted({r[1] for r in rules})
     literal = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(x).alias("label"), F.lit(p).alias("p"), F.lit(r).alias("r")) for n, k, x, p, r in rules])
-    base_rule = reduce(lambda a, b: a | b, [F.contains(F.col("flat"), F.lit(phrase)) for phrase, _ in BASE])
-    any_word = F.col("flat").rlike("(?:^| )(?:" + "|".join(keywords) + ")(?: |$)")
-    staged = docs.select("doc_id", flat.alias("flat")).select(
-        "doc_id",
-        F.when(F.col("flat") == "", F.lit(0)).otherwise(F.length("flat") - F.length(F.translate("flat", " ", "")) + 1).cast("long").alias("n_words"),
-        F.when(base_rule | any_word, F.concat(F.lit(" "), F.replace(F.col("flat"), F.lit(" "), F.lit("  ")), F.lit(" "))).alias("wide"),
+    low = F.col("low")
+    stem = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in STEMS])
+    may = stem | (F.contains(low, F.lit("cc")) & low.rlike("cc" + WORD_BREAK + "by"))
+    gated = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body")).withColumn("low", F.lower("body"))
+    staged = gated.select(
+        "doc_id", F.size(F.regexp_extract_all("body", F.lit(ANY_WORD), F.lit(0))).cast("long").alias("n_words"),
+        F.when(may, F.concat(F.lit(" "), F.replace(flat, F.lit(" "), F.lit("  ")), F.lit(" "))).alias("wide"),
     )
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
 
@@ -173,8 +176,8 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(F.contains(F.col("wide"), pattern), _places(F.col("wide"), pattern)).otherwise(none)
 
     bases = F.array(*[F.struct(F.lit(label).alias("label"), base_places(phrase).alias("at")) for phrase, label in BASE])
-    gated = F.filter(literal, lambda r: F.contains(F.col("wide"), F.concat(F.lit(" "), r["k"], F.lit(" "))))
-    found = F.flatten(F.transform(gated, lambda r: F.transform(_places(F.col("wide"), r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-r["p"]).alias("p"), r["n"].alias("n"), r["label"].alias("label")))))
+    wanted = F.filter(literal, lambda r: F.contains(F.col("wide"), F.concat(F.lit(" "), r["k"], F.lit(" "))))
+    found = F.flatten(F.transform(wanted, lambda r: F.transform(_places(F.col("wide"), r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-r["p"]).alias("p"), r["n"].alias("n"), r["label"].alias("label")))))
     detected = staged.withColumn("base", F.when(F.col("wide").isNotNull(), bases)).withColumn("found", F.when(F.col("wide").isNotNull(), F.sort_array(found)))
 
     # A container of an interval comes before it in order of (start, -end, -priority, number): a sweep that keeps the
