@@ -12,6 +12,8 @@ their own; ties and repeated rows count each; an empty table gives an empty resu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +22,7 @@ from ._common import keep, let
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, MARKS = "[#*$%&|<>]", r"[!?{}\[\]=~^\\]"
 NONE = "(none)"
 ALL = "(all)"
 #: Ratios judged, the fewest steps of spread a fence allows, and whether low values are rejected too.
@@ -59,16 +61,16 @@ def counts(docs: DataFrame, into: str = "_q") -> DataFrame:
     words = F.filter(F.split(body, WORD_BREAK), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def without(chars: str) -> Column:
-        return F.length(F.translate(body, chars, ""))
+    def number_of(chars: str) -> Column:
+        return F.size(F.regexp_extract_all(body, F.lit(chars), F.lit(0))).cast("long")
 
-    length = F.length(body)
+    solid = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), SPACES, body)
     windows = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     measured = F.struct(
         let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(windows(w), F.size(w)).cast("long").alias("r"))).alias("w"),
-        without(SPACES).cast("long").alias("word_chars"),
-        (length - without(SYMBOLS)).cast("long").alias("n_symbols"),
-        (length - without("!?{}[]=~^\\")).cast("long").alias("n_marks"),
+        F.length(solid).cast("long").alias("word_chars"),
+        number_of(SYMBOLS).alias("n_symbols"),
+        number_of(MARKS).alias("n_marks"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
     )
 
