@@ -2,8 +2,8 @@
 
 Text is cut into chunks at word borders that no piece crosses, so a segmentation of a text is a free choice of one
 segmentation for each chunk. A lattice holds many distinct chunks at once: its nodes are the positions of one
-joined string, its edges the pieces found by an automaton, and its sums run over all chunks together, one
-distance from the chunk's end (or start) at a time.
+joined string, its edges the pieces found by walking a trie from all of them, and its sums run over all chunks
+together, one distance from the chunk's end (or start) at a time.
 """
 
 from __future__ import annotations
@@ -19,18 +19,19 @@ SPACE = "▁"
 OWN_SPACE, OWN_BREAK = "\udc81", "\udc0a"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}{OWN_BREAK}]+|{SPACE}+|{OWN_BREAK}")
 STOOD_FOR = {OWN_SPACE: SPACE, OWN_BREAK: "\n"}
+#: Characters that the trie's dense table has columns for.
+COMMON = 128
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class Vocabulary:
-    """Pieces of a model file, their automaton, and a Zipf log probability for each by its rank.
+    """Pieces of a model file, their trie, and a Zipf log probability for each by its rank.
 
     A character without a piece of its own is one edge, spelled in byte pieces; its id in a lattice is `size` plus
     its code point.
     """
 
     def __init__(self, model_file: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -48,11 +49,55 @@ class Vocabulary:
         with np.errstate(divide="ignore"):
             self.log_p = np.log(weight / weight.sum())
         self.byte_log_p = float(self.log_p[self.bytes[0]])
-        self.length = np.array([len(p) for p in self.pieces], dtype=np.int32)
-        self.automaton = ahocorasick.Automaton()
+        self.line_break, self.spelled_break = self.size + ord(OWN_BREAK), self.bytes[ord("\n")]
+        # A trie as sorted arrays: (node, code point) -> child, and the piece that ends in each node.
+        nodes: dict[str, int] = {"": 0}
         for i in normal:
-            self.automaton.add_word(self.pieces[i], i)
-        self.automaton.make_automaton()
+            for n in range(1, len(self.pieces[i]) + 1):
+                nodes.setdefault(self.pieces[i][:n], len(nodes))
+        keys = np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in nodes if p], dtype=np.int64)
+        order = np.argsort(keys)
+        self.trie_keys, self.trie_child = keys[order], (order + 1).astype(np.int64)
+        self.trie_piece = np.full(len(nodes), -1, dtype=np.int64)
+        self.trie_piece[[nodes[self.pieces[i]] for i in normal]] = normal
+        # The most frequent characters step through a dense table; 0, the root, stands for no child.
+        codes, times = np.unique(self.trie_keys & (1 << 21) - 1, return_counts=True)
+        common = codes[np.argsort(-times, kind="stable")[:COMMON]]
+        self.column = np.full(0x110000, COMMON, dtype=np.int16)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(nodes), COMMON), dtype=np.int32)
+        own = self.column[self.trie_keys & (1 << 21) - 1]
+        self.dense[self.trie_keys[own < COMMON] >> 21, own[own < COMMON]] = self.trie_child[own < COMMON]
+        # The bytes of every piece, one after the other.
+        spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.byte_length = np.fromiter(map(len, spelled), dtype=np.int64, count=self.size)
+        self.byte_start = np.cumsum(self.byte_length) - self.byte_length
+        self.byte_pool = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+
+    def occurrences(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, stop, piece) of every occurrence of a piece in code points, longer ones first: the trie walked from all places together."""
+        place, node = np.arange(len(code)), np.zeros(len(code), dtype=np.int64)
+        starts, stops, pieces = [], [], []
+        depth = 0
+        while len(place):
+            inside = place + depth < len(code)
+            place, node = place[inside], node[inside]
+            c = code[place + depth]
+            column = self.column[c]
+            rare = np.flatnonzero(column == COMMON)
+            child = self.dense[node, np.minimum(column, COMMON - 1)]
+            if len(rare):
+                key = node[rare] << 21 | c[rare]
+                at = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+                child[rare] = np.where(self.trie_keys[at] == key, self.trie_child[at], 0)
+            found = np.flatnonzero(child)
+            place, node, depth = place[found], child[found].astype(np.int64), depth + 1
+            piece = self.trie_piece[node]
+            ends = piece >= 0
+            starts.append(place[ends])
+            stops.append(place[ends] + depth)
+            pieces.append(piece[ends])
+        return np.concatenate(starts[::-1]), np.concatenate(stops[::-1]), np.concatenate(pieces[::-1])
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, with its spaces as U+2581 and a leading one. No text: none."""
@@ -71,6 +116,13 @@ class Vocabulary:
                 out.extend(self.bytes[b] for b in STOOD_FOR.get(c, c).encode())
         return out
 
+    def raw(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of piece ids, all at once."""
+        n = self.byte_length[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.byte_pool[np.repeat(self.byte_start[ids] - (ends - n), n) + np.arange(total)]
+
     def decode(self, ids) -> str:
         """The text of piece ids; inverse of any segmentation of chunks(text)."""
         raw = bytearray()
@@ -93,18 +145,16 @@ class Lattice:
         lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         self.last = np.cumsum(lengths + 1) - 1
         self.first = self.last - lengths
-        found = np.fromiter((x for hit in vocab.automaton.iter(joined) for x in hit), dtype=np.int64).reshape(-1, 2)
-        stop, piece = found[:, 0] + 1, found[:, 1]
-        start = stop - vocab.length[piece]
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        start, stop, piece = vocab.occurrences(code)
         alone = np.ones(len(joined), dtype=bool)
         alone[self.last] = False
         alone[start[stop == start + 1]] = False
         extra = np.flatnonzero(alone)
-        code = np.fromiter((ord(joined[i]) for i in extra), dtype=np.int64, count=len(extra))
         width = np.fromiter((len(STOOD_FOR.get(joined[i], joined[i]).encode()) for i in extra), dtype=np.int64, count=len(extra))
         self.start = np.concatenate([start, extra])
         self.stop = np.concatenate([stop, extra + 1])
-        self.piece = np.concatenate([piece, code + vocab.size])
+        self.piece = np.concatenate([piece, code[extra] + vocab.size])
         self.spelled = np.concatenate([np.zeros(len(start), dtype=np.int64), width])  # byte pieces of an edge
         self.nodes = len(joined)
         self.chunk = np.repeat(np.arange(len(chunks)), lengths + 1)

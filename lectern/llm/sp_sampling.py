@@ -20,8 +20,9 @@ piece are spelled in byte pieces, so decoding gives back every text exactly.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,8 @@ class _Steps:
         upto = np.cumsum(p)
         within = upto - np.repeat(upto[runs] - p[runs], sizes)
         run = np.repeat(np.arange(len(runs)), sizes)
-        self.key = run + np.minimum(within, 1.0)
-        self.key[runs + sizes - 1] = np.arange(len(runs)) + 1.0
+        self.upto = np.minimum(within, 1.0)
+        self.upto[runs + sizes - 1] = 1.0
         self.runs, self.sizes, self.p, self.run = runs, sizes, p, run
         single = np.repeat(sizes == 1, sizes)
         with np.errstate(divide="ignore"):
@@ -73,9 +74,7 @@ class _Steps:
             rest = np.where(single, 0.0, 1.0 - p)
             for e in np.flatnonzero(~single & (p > 1 - 1e-9)):
                 a, n = runs[run[e]], sizes[run[e]]
-                rest[e] = p[a : a + n].sum() - p[e] if n > 2 else p[a + (0 if e > a else 1)]
-                if n > 2:
-                    rest[e] = sum(p[i] for i in range(a, a + n) if i != e)
+                rest[e] = sum(p[i] for i in range(a, a + n) if i != e)
             self.log_rest = np.log(rest)
         self.node = np.full(lattice.nodes, -1, dtype=np.int64)  # run of edges that leave a node; -1 at a chunk's end
         self.node[start[runs]] = np.arange(len(runs))
@@ -88,7 +87,11 @@ class _Steps:
         walks, edges, step = [], [], 0
         base = _mix(_mix(seed ^ np.uint64(sample)) ^ place.astype(np.uint64))
         while len(who):
-            e = np.searchsorted(self.key, node + _uniform(base[who], step), side="right")
+            e, u = self.runs[node], _uniform(base[who], step)
+            left = np.flatnonzero(u >= self.upto[e])
+            while len(left):  # longer pieces come first and are mostly likelier
+                e[left] += 1
+                left = left[u[left] >= self.upto[e[left]]]
             walks.append(who)
             edges.append(e)
             node = self.node[self.stop[e]]
@@ -107,9 +110,9 @@ class _Path:
 
 def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: int, alpha: float):
     """For each sample rank: (text index, path, log p, perturbed value); and the first value left out of each text."""
-    index: dict[str, int] = {}
     split = [vocab.chunks(t) for t in texts]
-    occ_chunk = np.fromiter((index.setdefault(c, len(index)) for c in chain.from_iterable(split)), dtype=np.int64)
+    index: dict[str, int] = defaultdict(count().__next__)
+    occ_chunk = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int64)
     per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     n = len(texts)
     steps = _Steps(vocab, list(index), alpha)
@@ -225,20 +228,46 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
     return steps, results, left_out
 
 
-def _spelled(vocab: Vocabulary, lattice_ids: np.ndarray) -> list[int]:
-    return lattice_ids.tolist() if not len(lattice_ids) or lattice_ids.max() < vocab.size else vocab.spell(lattice_ids.tolist())
-
-
-def segment(vocab: Vocabulary, texts: list[str], keys: list[int], k: int, seed: int = 0, alpha: float = 1.0) -> Iterator[tuple[int, int, list[int], float, float]]:
-    """(text index, rank, piece ids, log p, log inclusion) of every sample; texts must not be empty."""
+def _spelled(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lattice ids of all texts as piece ids, and where each text's begin: a character without a piece becomes its bytes."""
+    ids = np.where(ids == vocab.line_break, vocab.spelled_break, ids)
+    other = np.flatnonzero(ids >= vocab.size)
+    if not len(other):
+        return ids, begin
+    many = [vocab.spell([i]) for i in ids[other].tolist()]
+    sizes = np.ones(len(ids), dtype=np.int64)
+    sizes[other] = [len(x) for x in many]
+    starts = np.r_[0, np.cumsum(sizes)]
+    out = np.repeat(ids, sizes)
+    for at, x in zip(starts[other], many, strict=True):
+        out[at : at + len(x)] = x
+    return out, starts[begin]
+
+
+def samples(vocab: Vocabulary, texts: list[str], keys: list[int], k: int, seed: int = 0, alpha: float = 1.0):
+    """For each rank: texts that have that sample, piece ids of all texts, where each text's begin, log p, log inclusion."""
     steps, results, left_out = search(vocab, texts, np.array(keys, dtype=np.int64), k, seed, alpha)
-    for rank, (who, path, total, _) in enumerate(results):
-        pieces = steps.piece[path.edges]
+    for who, path, total, _ in results:
+        ids, begin = _spelled(vocab, steps.piece[path.edges], path.begin)
         with np.errstate(over="ignore", divide="ignore"):
             x = np.exp(np.minimum(total - left_out, 700.0))
             inclusion = np.where(np.isneginf(left_out), 0.0, np.where(x < 1e-12, total - left_out, np.log(-np.expm1(-x))))
+        yield who, ids.astype(np.int32), begin, total, inclusion
+
+
+def segment(vocab: Vocabulary, texts: list[str], keys: list[int], k: int, seed: int = 0, alpha: float = 1.0) -> Iterator[tuple[int, int, list[int], float, float]]:
+    """(text index, rank, piece ids, log p, log inclusion) of every sample; texts must not be empty."""
+    for rank, (who, ids, begin, total, inclusion) in enumerate(samples(vocab, texts, keys, k, seed, alpha)):
         for t in who:
-            yield int(t), rank, _spelled(vocab, pieces[path.begin[t] : path.begin[t + 1]]), float(total[t]), float(inclusion[t])
+            yield int(t), rank, ids[begin[t] : begin[t + 1]].tolist(), float(total[t]), float(inclusion[t])
+
+
+def gives_back(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Whether the pieces of each text spell it."""
+    raw = vocab.raw(ids)
+    ends = np.r_[0, np.cumsum(vocab.byte_length[ids])][begin]
+    whole = raw.tobytes()
+    return np.array([whole[a + 1 : b] == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)], dtype=bool)
 
 
 def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model_file: str = DEFAULT_MODEL, with_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -252,7 +281,7 @@ def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file)
-        as_bytes = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else p.replace("▁", " ").encode() for i, p in enumerate(vocab.pieces)]
+        names = ["doc_id", *carry, "sample", "ids" if with_ids else "ids_crc32", "n_pieces", "log_p", "log_inclusion", "decoded"]
         for batch in batches:
             column = batch.column("text")
             sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + len(column) + 1])
@@ -261,21 +290,14 @@ def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model
                 part = batch.slice(a, b - a)
                 texts = part.column("text").to_pylist()
                 keys = [x or 0 for x in part.column("doc_id").to_pylist()]
-                at, ranks, ids, log_p, inclusion, decoded = [], [], [], [], [], []
-                for t, rank, pieces, lp, inc in segment(vocab, texts, keys, k, seed, alpha):
-                    at.append(t)
-                    ranks.append(rank)
-                    ids.append(np.array(pieces, dtype=np.int32))
-                    log_p.append(lp)
-                    inclusion.append(inc)
-                    decoded.append(b"".join(map(as_bytes.__getitem__, pieces))[1:] == texts[t].encode())
-                counts = [len(x) for x in ids]
-                rows = part.take(pa.array(at, pa.int64()))
-                if with_ids:
-                    shown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, dtype=np.int32)])))
-                else:
-                    shown = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
-                columns = [rows.column("doc_id"), *(rows.column(c) for c in carry), pa.array(ranks, pa.int32()), shown, pa.array(counts, pa.int32()), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(decoded, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *carry, "sample", "ids" if with_ids else "ids_crc32", "n_pieces", "log_p", "log_inclusion", "decoded"])
+                for rank, (who, ids, begin, log_p, inclusion) in enumerate(samples(vocab, texts, keys, k, seed, alpha)):
+                    decoded = gives_back(vocab, ids, begin, texts)
+                    rows, lengths = part.take(pa.array(who, pa.int64())), np.diff(begin)[who]
+                    if with_ids:
+                        shown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.concatenate([ids[:0], *[ids[begin[t] : begin[t + 1]] for t in who]])))
+                    else:
+                        shown = pa.array([zlib.crc32(ids[begin[t] : begin[t + 1]].tobytes()) for t in who], pa.int64())
+                    columns = [rows.column("doc_id"), *(rows.column(c) for c in carry), pa.array(np.full(len(who), rank), pa.int32()), shown, pa.array(lengths, pa.int32()), pa.array(log_p[who], pa.float64()), pa.array(inclusion[who], pa.float64()), pa.array(decoded[who], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return narrow.mapInArrow(run, f"doc_id long, {kept}sample int, {ids_type}, n_pieces int, log_p double, log_inclusion double, decoded boolean")
