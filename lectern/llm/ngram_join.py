@@ -36,7 +36,8 @@ PART, WHOLE = 75, 100
 #: Hashed frequency counters, a power of two, and the parts they are summed in.
 COUNTERS, COUNTER_PARTS = 1 << 20, 64
 #: Rows of prefixes in one task; a shingle with more rows above the mean is dealt to several tasks.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 500_000
+EMITTED_ROWS = 200_000
 HOT_ROWS = 50_000
 #: Bytes of text that are hashed together.
 GROUP_BYTES = 1_000_000
@@ -169,8 +170,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = sent.value
+        kinds, names = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()], ["token", "salt", "id", "n", "pos"]
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
+            rows = 0
             for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
                 if not len(s):
                     continue
@@ -182,8 +185,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     column.append(x)
                 # -1 marks a shingle that is not split
                 out[1][-1][parts == 1] = -1
-            if out[0]:
-                yield _batches([np.concatenate(c) for c in out], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()], ["token", "salt", "id", "n", "pos"])
+                rows += k
+                if rows >= EMITTED_ROWS:
+                    yield _batches([np.concatenate(c) for c in out], kinds, names)
+                    out, rows = [[], [], [], [], []], 0
+            if rows:
+                yield _batches([np.concatenate(c) for c in out], kinds, names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "token long, salt int, id long, n int, pos int")
 
@@ -297,7 +304,11 @@ def links(pairs: DataFrame, maps: DataFrame, docs: DataFrame) -> DataFrame:
 
     passed = keep(beside(pairs, maps).mapInArrow(possible, "a long, b long"), "pairs")
     ids = keep(passed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    return beside(passed, keep(arrays(only_ids(docs, ids)), "sets")).mapInArrow(certain, "a long, b long")
+    sets = keep(arrays(only_ids(docs, ids)), "sets")
+    found = keep(beside(passed, sets).mapInArrow(certain, "a long, b long"), "links")
+    for done in (passed, ids, sets):
+        forget(done)
+    return found
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -315,7 +326,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     edges = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(limit):
-        now = keep(_contracted(_contracted(edges)), "edges")
+        now = keep(_contracted(edges), "edges")
         forget(edges)
         edges = now
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -339,10 +350,12 @@ def join(docs: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
     tiles = keep(shared(prefixes(own, frequencies(summary)), tasks), "tiles")
     maps = keep(bitmaps(only_ids(own, keep(tiles.select(F.col("id").alias("doc_id")).distinct(), "candidates"))), "bitmaps")
-    first = keep(links(central_pairs(tiles), maps, own), "links")
+    first = links(central_pairs(tiles), maps, own)
     groups = components(first)
-    second = keep(links(open_pairs(tiles, groups), maps, own), "links")
+    second = links(open_pairs(tiles, groups), maps, own)
     groups = components(first.union(second))
+    for done in (tiles, maps, first, second):
+        forget(done)
     ids = rows.join(several, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return ids.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
