@@ -108,8 +108,9 @@ def group_key(name: str) -> Column:
 def sketch(counted: DataFrame, at: str = "_q") -> DataFrame:
     """Histogram rows (lang, source, ratio, bucket, n) of documents that pass the base rule: sketches merge by adding n."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(F.col(f"{at}.ratios.{k}")).alias("bucket")) for k in RATIOS]))
-    passed = counted.where(~F.col(f"{at}.base_failed")).select(group_key("lang").alias("lang"), group_key("source").alias("source"), pairs.alias("x"))
-    return passed.groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
+    passes = F.when(F.col(f"{at}.base_failed"), 0).otherwise(1)  # counted, as a filter would be pushed down and take the counts again
+    every = counted.select(group_key("lang").alias("lang"), group_key("source").alias("source"), passes.alias("p"), pairs.alias("x"))
+    return every.groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.sum("p").alias("n")).where("n > 0")
 
 
 def merge(sketches: DataFrame, *by: str) -> DataFrame:
@@ -119,6 +120,7 @@ def merge(sketches: DataFrame, *by: str) -> DataFrame:
 
 def fences(sketches: DataFrame) -> DataFrame:
     """One row per lang and source, with the least and the greatest accepted value of each ratio."""
+    sketches = keep(sketches, "sketches")
     levels = sketches.select("lang", "source", "ratio", "bucket", "n").unionByName(
         merge(sketches, "lang").withColumn("source", F.lit(ALL))
     ).unionByName(merge(sketches).withColumn("lang", F.lit(ALL)).withColumn("source", F.lit(ALL)))
@@ -151,12 +153,14 @@ def judge(counted: DataFrame, limits: DataFrame, at: str = "_q") -> DataFrame:
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     joined = counted.join(limits, (group_key("lang") == F.col("_lang")) & (group_key("source") == F.col("_source")), "left")
-    ok = ~F.col(f"{at}.base_failed")
+    # One sum that needs both sides and is never null: conditions on the counts alone would be pushed below the join and
+    # take them again.
+    faults = F.col(f"{at}.base_failed").cast("int")
     for k, (_, both) in RATIOS.items():
-        ok = ok & (F.col(f"{at}.ratios.{k}") <= F.coalesce(F.col(f"_{k}_high"), F.lit(2**40)))
+        faults = faults + (F.col(f"{at}.ratios.{k}") > F.coalesce(F.col(f"_{k}_high"), F.lit(2**40))).cast("int")
         if both:
-            ok = ok & (F.col(f"{at}.ratios.{k}") >= F.coalesce(F.col(f"_{k}_low"), F.lit(-1)))
-    return joined.withColumn("_kept", ok).drop(*limits.columns)
+            faults = faults + (F.col(f"{at}.ratios.{k}") < F.coalesce(F.col(f"_{k}_low"), F.lit(-1))).cast("int")
+    return joined.withColumn("_kept", F.coalesce(faults, F.lit(1)) == 0).drop(*limits.columns)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
