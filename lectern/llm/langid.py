@@ -12,8 +12,9 @@ ties go to the language that sorts first; repeated rows are scored each; without
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ SAMPLE_TEXTS = 300
 ROUNDS = 4
 #: Weight of the vocabulary's own distribution, in pieces.
 PRIOR = 300.0
-#: Longer chunks are scored but not remembered; remembered chunks are dropped when there are so many.
-LONG, REMEMBERED = 64, 400_000
+#: Longer chunks are scored but not remembered; of the others the most used, so many at most.
+LONG, REMEMBERED = 64, 200_000
 #: Characters of text scored together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 
 
 def train(counts: dict[str, dict[str, int]], model_file: str = DEFAULT_MODEL, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -67,30 +68,46 @@ def chunk_scores(vocab: Vocabulary, log_p: np.ndarray, chunks: list[str]) -> np.
 
 
 class Scorer:
-    """Log probabilities of texts; remembers those of chunks it has seen."""
+    """Log probabilities of texts; remembers those of the chunks it has met most."""
 
     def __init__(self, log_p: np.ndarray, model_file: str):
         self.vocab, self.log_p = vocabulary(model_file), log_p
         self.index: dict[str, int] = {}
-        self.table = np.zeros((0, log_p.shape[1]))
+        self.table = np.zeros((REMEMBERED, log_p.shape[1]))
+        self.uses = np.zeros(REMEMBERED, dtype=np.int64)
+
+    def _room(self, n: int) -> None:
+        """Forget the less used half if n more chunks do not fit."""
+        if len(self.index) + n > REMEMBERED:
+            names = list(self.index)
+            stay = np.argsort(-self.uses[: len(names)], kind="stable")[: REMEMBERED // 2]
+            self.index = {names[i]: k for k, i in enumerate(stay)}
+            self.table[: len(stay)] = self.table[stay]
+            self.uses[: len(stay)] = self.uses[stay] // 2
+            self.uses[len(stay) :] = 0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         split = [self.vocab.chunks(t) for t in texts]
-        if len(self.index) > REMEMBERED:
-            self.index, self.table = {}, self.table[:0]
-        size = len(self.index)
-        index = self.index
-        places = np.fromiter((index.setdefault(c, len(index)) for c in chain.from_iterable(split)), dtype=np.int64)
-        if len(index) > size:
-            new = list(index)[size:]
-            self.table = np.concatenate([self.table, chunk_scores(self.vocab, self.log_p, new)])
-            for c in [c for c in new if len(c) > LONG]:
-                index[c + "\n"] = index.pop(c)  # its row stays counted; its text is looked up no more
+        local: dict[str, int] = defaultdict(count().__next__)
+        places = np.fromiter(map(local.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+        names = list(local)
+        at = np.fromiter((self.index.get(c, -1) for c in names), dtype=np.int64, count=len(names))
+        rows = self.table[at]
+        new = np.flatnonzero(at < 0)
+        times = np.bincount(places, minlength=len(names))
+        self.uses[at[at >= 0]] += times[at >= 0]
+        if len(new):
+            rows[new] = chunk_scores(self.vocab, self.log_p, [names[i] for i in new])
+            short = [i for i in new if len(names[i]) <= LONG]
+            self._room(len(short))
+            for i in short[: REMEMBERED - len(self.index)]:
+                k = self.index[names[i]] = len(self.index)
+                self.table[k], self.uses[k] = rows[i], times[i]
         lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         out = np.zeros((len(texts), self.log_p.shape[1]))
         has = np.flatnonzero(lengths)
         if len(has):
-            out[has] = np.add.reduceat(self.table[places], (np.cumsum(lengths) - lengths)[has], axis=0)
+            out[has] = np.add.reduceat(rows[places], (np.cumsum(lengths) - lengths)[has], axis=0)
         return out
 
 
