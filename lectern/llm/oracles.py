@@ -70,7 +70,7 @@ OP9 = f"""WITH crc AS (SELECT list_transform(range(256), lambda x: list_reduce(l
 s AS (SELECT doc_id, coalesce(text, '') AS body, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, md5(coalesce(text, '')) AS h FROM documents),
 sums AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM s, crc),
 g AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY h) AS whole, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM s),
-p AS (SELECT *, CASE WHEN whole * 800 <= total THEN min(start) OVER (PARTITION BY h) ELSE start END AS before FROM g), k AS (SELECT *, (8 * before // total)::INT AS shard FROM p)
+p AS (SELECT *, CASE WHEN whole * 800 <= total THEN 2 * min(start) OVER (PARTITION BY h) + whole ELSE 2 * start + size END AS twice FROM g), k AS (SELECT *, (8 * twice // (2 * total))::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id)::BIGINT - 1 AS slot, NULL::INT AS grown_shard FROM k JOIN sums USING (doc_id)"""
 
 assert sharding.TEXT_DIGITS == 32

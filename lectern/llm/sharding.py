@@ -42,8 +42,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def splitters(rows: DataFrame, ranges: int, whole_share: float, shards: int) -> list[str]:
     """Keys S_1 <= ... <= S_(ranges-1): a row belongs to range r if exactly r of them are <= its key.
 
-    A row's range is floor(ranges * bytes_before / total), where a group of equal texts of at most
-    whole_share * total / shards bytes counts as one unit.
+    A unit's range is floor(ranges * middle / total), where middle is half its bytes beyond all bytes before it: a boundary
+    falls on the nearer side of the unit it cuts. A unit is a row, or a whole group of equal texts of at most
+    whole_share * total / shards bytes.
     """
     found: dict[int, str] = {}
     active: dict[str, tuple[int, list[int]]] = {"": (0, list(range(1, ranges)))}
@@ -73,8 +74,10 @@ def splitters(rows: DataFrame, ranges: int, whole_share: float, shards: int) ->
                 for j in inside:
                     if goals[j] <= at:
                         found[j] = r.p
-                    elif goals[j] == end or r.n == 1 or length == PROBES[-1] or (length == TEXT_DIGITS and r.b <= whole):
+                    elif goals[j] == end:
                         found[j] = r.p + "g"
+                    elif r.n == 1 or length == PROBES[-1] or (length == TEXT_DIGITS and r.b <= whole):
+                        found[j] = r.p if (at + end) * ranges >= 2 * j * total else r.p + "g"
                     else:
                         following.setdefault(r.p, (at, []))[1].append(j)
                 at = end

@@ -443,8 +443,8 @@ def placed(rows, shards=8, whole=0.01):
     out, at, start = {}, 0, {}
     for h, d, size in keyed:
         start.setdefault(h, at)
-        before = start[h] if by_text[h] <= whole * total / shards else at
-        out[d] = shards * before // total
+        twice = 2 * start[h] + by_text[h] if by_text[h] <= whole * total / shards else 2 * at + size
+        out[d] = shards * twice // (2 * total)
         at += size
     slots, seen = {}, Counter()
     for _, d, _ in keyed:
