@@ -97,7 +97,7 @@ class Vocabulary:
             starts.append(place[ends])
             stops.append(place[ends] + depth)
             pieces.append(piece[ends])
-        return np.concatenate(starts[::-1]), np.concatenate(stops[::-1]), np.concatenate(pieces[::-1])
+        return tuple(np.concatenate(x[::-1]).astype(np.int32) for x in (starts, stops, pieces))
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, with its spaces as U+2581 and a leading one. No text: none."""
@@ -152,12 +152,12 @@ class Lattice:
         alone[start[stop == start + 1]] = False
         extra = np.flatnonzero(alone)
         width = np.fromiter((len(STOOD_FOR.get(joined[i], joined[i]).encode()) for i in extra), dtype=np.int64, count=len(extra))
-        self.start = np.concatenate([start, extra])
-        self.stop = np.concatenate([stop, extra + 1])
-        self.piece = np.concatenate([piece, code[extra] + vocab.size])
-        self.spelled = np.concatenate([np.zeros(len(start), dtype=np.int64), width])  # byte pieces of an edge
+        self.start = np.concatenate([start, extra.astype(np.int32)])
+        self.stop = np.concatenate([stop, extra.astype(np.int32) + 1])
+        self.piece = np.concatenate([piece, (code[extra] + vocab.size).astype(np.int32)])
+        self.spelled = np.concatenate([np.zeros(len(start), dtype=np.int8), width.astype(np.int8)])  # byte pieces of an edge
         self.nodes = len(joined)
-        self.chunk = np.repeat(np.arange(len(chunks)), lengths + 1)
+        self.chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), lengths + 1)
         self.vocab = vocab
 
     def weights(self, log_p: np.ndarray, byte_log_p) -> np.ndarray:
@@ -173,7 +173,7 @@ class Lattice:
         Also the order of edges in which those that meet in a node stand together, and where each such run begins.
         """
         into, out_of = (self.stop, self.start) if forward else (self.start, self.stop)
-        level = into - self.first[self.chunk[into]] if forward else self.last[self.chunk[into]] - into
+        level = (into - self.first[self.chunk[into]] if forward else self.last[self.chunk[into]] - into).astype(np.int32)
         order = np.lexsort((into, level))
         node = into[order]
         runs = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, dtype=np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 600_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,10 +64,10 @@ class _Steps:
         p /= np.repeat(total, sizes)
         upto = np.cumsum(p)
         within = upto - np.repeat(upto[runs] - p[runs], sizes)
-        run = np.repeat(np.arange(len(runs)), sizes)
+        run = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
         self.upto = np.minimum(within, 1.0)
         self.upto[runs + sizes - 1] = 1.0
-        self.runs, self.sizes, self.p, self.run = runs, sizes, p, run
+        self.runs, self.sizes, self.p, self.run = runs.astype(np.int32), sizes, p, run
         single = np.repeat(sizes == 1, sizes)
         with np.errstate(divide="ignore"):
             self.log_p = np.where(single, 0.0, np.log(p))
@@ -76,16 +76,16 @@ class _Steps:
                 a, n = runs[run[e]], sizes[run[e]]
                 rest[e] = sum(p[i] for i in range(a, a + n) if i != e)
             self.log_rest = np.log(rest)
-        self.node = np.full(lattice.nodes, -1, dtype=np.int64)  # run of edges that leave a node; -1 at a chunk's end
+        self.node = np.full(lattice.nodes, -1, dtype=np.int32)  # run of edges that leave a node; -1 at a chunk's end
         self.node[start[runs]] = np.arange(len(runs))
         self.first = self.node[lattice.first]
 
-    def walk(self, node: np.ndarray, seed: np.ndarray, sample: int, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Sampled edges from each node to its chunk's end, and which start each belongs to, step by step."""
-        who = np.flatnonzero(node >= 0)
+        who = np.flatnonzero(node >= 0).astype(np.int32)
         node = node[who]
         walks, edges, step = [], [], 0
-        base = _mix(_mix(seed ^ np.uint64(sample)) ^ place.astype(np.uint64))
+        base = _mix(seed ^ place.astype(np.uint64))
         while len(who):
             e, u = self.runs[node], _uniform(base[who], step)
             left = np.flatnonzero(u >= self.upto[e])
@@ -116,7 +116,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
     per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     n = len(texts)
     steps = _Steps(vocab, list(index), alpha)
-    occ_text = np.repeat(np.arange(n), per_text)
+    occ_text = np.repeat(np.arange(n, dtype=np.int32), per_text)
     occ_begin = np.cumsum(per_text) - per_text
     occ_place = np.arange(len(occ_text)) - occ_begin[occ_text]
     root = _mix(keys.astype(np.int64).view(np.uint64) ^ _mix(np.full(n, seed % 2**64, dtype=np.uint64)))
@@ -126,10 +126,10 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
             return np.where(np.isfinite(where), where - np.log(np.exp(where - top) - np.log(u)), -np.inf)
 
     def complete(walks, edges, base_edges, base_occ) -> _Path:
-        occ = np.concatenate([base_occ, *walks]).astype(np.int64)
+        occ = np.concatenate([base_occ, *walks]).astype(np.int32)
         order = np.argsort(occ, kind="stable")
         occ = occ[order]
-        return _Path(np.concatenate([base_edges, *edges]).astype(np.int64)[order], occ, occ_text[occ], n)
+        return _Path(np.concatenate([base_edges, *edges]).astype(np.int32)[order], occ, occ_text[occ], n)
 
     none = np.zeros(0, dtype=np.int64)
     paths: list[_Path] = []
@@ -143,7 +143,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
     for sample in range(k):
         closed: dict[int, tuple[int, list[int], float]] = {}
         if sample == 0:
-            walks, edges = steps.walk(steps.first[occ_chunk], root[occ_text], 0, occ_place)
+            walks, edges = steps.walk(steps.first[occ_chunk], _mix(root)[occ_text], occ_place)
             path = complete(walks, edges, none, none)
             from_level = np.zeros(n, dtype=np.int64)
         else:
@@ -154,7 +154,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
             parent, level = queue_path[rows, best], queue_level[rows, best]
             queue_value[rows, best] = -np.inf
             keep_e, keep_o, alt_e, alt_o = [], [], [], []
-            node = np.full(len(occ_chunk), -1, dtype=np.int64)
+            node = np.full(len(occ_chunk), -1, dtype=np.int32)
             draw = _uniform(root, 2, sample)
             for q in np.unique(parent[alive]):
                 mine = alive & (parent == q)
@@ -189,7 +189,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
                 branch[occ_text[np.array(alt_o)]] = alt_o
             later = np.arange(len(occ_chunk)) > branch[occ_text]
             node[later] = steps.first[occ_chunk[later]]
-            walks, edges = steps.walk(node, root[occ_text], sample, occ_place)
+            walks, edges = steps.walk(node, _mix(root ^ np.uint64(sample))[occ_text], occ_place)
             path = complete(walks, edges, np.concatenate([*keep_e, np.array(alt_e, dtype=np.int64)]), np.concatenate([*keep_o, np.array(alt_o, dtype=np.int64)]))
             from_level = level
         paths.append(path)
@@ -209,7 +209,8 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
             off[path.begin[t] + lv] = rest
         where = before - base[path.text] + off
         where[rank < from_level[path.text]] = -np.inf
-        u = _uniform(root[path.text], 3 + sample, 1 << 40, rank)
+        seeded = _mix(_mix(root ^ np.uint64(3 + sample)) ^ np.uint64(1 << 40))
+        u = _uniform(seeded[path.text], rank)
         bound = gumbel_below(where, value[path.text], u)
         # The best few subtrees beside this path are all that later samples can need.
         for _ in range(k - sample):
