@@ -91,7 +91,7 @@ def test_audit_counts_each_defect(spark):
     rows += [("p", "Running head")] * 5
     df = spark.createDataFrame([(1, i, tag, text) for i, (tag, text) in enumerate(rows)], "book long, seq long, tag string, text string")
     r = audit.audit(df).first()
-    assert (r.broken, r.hyphen, r.junk, r.ocr, r.split, r.chars, r.headings) == (4, 1, 1, 1, 1, 1, 1)
+    assert (r.broken, r.hyphen, r.junk, r.ocr, r.split, r.chars, r.headings) == (6, 1, 1, 1, 1, 1, 1)
     assert r.furniture == 1 + 4 and r.glued == 1
     assert [x.rank for x in audit.ranked(audit.audit(df)).collect()] == [1]
 
