@@ -229,10 +229,12 @@ def test_integrity_reports_loss_and_duplication(spark):
 def test_tsv_and_guards(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t1\t2\t3\t4\t91.5\t\"quoted\n5\t1\t1\t1\t1\t2\t1\t2\t3\t4\t12\tlow\n4\t1\t1\t1\t1\t0\t1\t2\t3\t4\t-1\t\n5\t1\t1\t1\t1\t3\t1\t2\t3\t4\t80\t \n")
     assert [(r.text, r.conf) for r in corpus.ocr_tsv(spark, str(tmp_path / "t.tsv")).collect()] == [('"quoted', 0.915)]
-    for name, content in (("a.pdf", b"%PDF-1.4 x"), ("b.pdf", b"hello"), ("c.txt", b"%PDF-"), ("d.pdf", b"")):
+    for name, content in (("a.pdf", b"%PDF-1.4 x"), ("b.pdf", b"hello"), ("c.txt", b"%PDF-")):
         (tmp_path / name).write_bytes(content)
     got = {r.path.split("/")[-1]: r.error for r in corpus.pdf_guards(spark.read.format("binaryFile").load(str(tmp_path / "*.*"))).collect()}
-    assert got["a.pdf"] is None and got["b.pdf"] == got["c.txt"] == "not_a_pdf" and got["d.pdf"] == "empty_file"
+    assert got["a.pdf"] is None and got["b.pdf"] == got["c.txt"] == "not_a_pdf"
+    made = spark.createDataFrame([("x/d.pdf", 0, bytearray(b"")), ("x/e.pdf", 99, bytearray(b"%PDF-"))], "path string, length long, content binary")
+    assert [r.error for r in corpus.pdf_guards(made, max_bytes=50).collect()] == ["empty_file", "too_large"]
 
 
 def test_empty_inputs(spark):

@@ -90,5 +90,5 @@ def test_reviewers_may_fail_or_answer_less(spark):
 
 
 def test_title_candidates(spark):
-    df = spark.createDataFrame([(1, 1, "THE RIVER", 72.0, 100.0, 24.0), (1, 1, "ROAD", 72.0, 130.0, 23.0), (1, 1, "by someone", 72.0, 200.0, 12.0), (1, 1, "small", 72.0, 220.0, 12.0), (2, 1, "even a", 72.0, 1.0, 10.0), (2, 1, "even b", 72.0, 2.0, 10.0), (2, 1, "even c", 72.0, 3.0, 10.0), (2, 1, "even d", 72.0, 4.0, 10.0)], "doc_id long, page long, text string, x0 double, y0 double, font_size double")
+    df = spark.createDataFrame([(1, 1, "THE RIVER", 72.0, 100.0, 24.0), (1, 1, "ROAD", 72.0, 130.0, 23.0), (1, 1, "by someone", 72.0, 200.0, 12.0), (1, 1, "small", 72.0, 220.0, 12.0), (1, 1, "smaller", 72.0, 240.0, 12.0), (2, 1, "even a", 72.0, 1.0, 10.0), (2, 1, "even b", 72.0, 2.0, 10.0), (2, 1, "even c", 72.0, 3.0, 10.0), (2, 1, "even d", 72.0, 4.0, 10.0)], "doc_id long, page long, text string, x0 double, y0 double, font_size double")
     assert [(r.doc_id, r.title) for r in blocks.title_candidates(df).collect()] == [(1, "THE RIVER ROAD")]
