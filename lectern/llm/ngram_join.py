@@ -357,7 +357,7 @@ def join(docs: DataFrame) -> DataFrame:
     for done in (tiles, maps, first, second):
         forget(done)
     ids = rows.join(several, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return ids.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    return ids.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
