@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
 A text is lower-cased (A-Z), cut into words and rewritten as " w1  w2  w3 ". A family's names, its versions and a
-few ways of quoting a license give several hundred regular expressions. A text that holds none of the keywords
+few ways of quoting a license give several hundred regular expressions; SPDX ids, one-word abbreviations and sentences
+of the grant texts have rules of their own. Labels name the family, not the version. A text that holds none of the keywords
 is done after one pass; otherwise a signature runs only if the text holds its own keyword. Detections are word
 intervals; one that lies inside another of the same or a higher priority is suppressed (same interval: higher
 priority, then lower rule number, wins).
@@ -14,6 +15,7 @@ counts; repeated rows are scanned each; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -27,7 +29,10 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing, and the words between.
 ANY_BREAK, ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every phrase and rule holds one of these, or "cc" and "by" as neighbouring words.
-STEMS = ("license", "licence", "gpl", "mpl", "cddl", "eupl", "wtfpl", "cc0", "bsd", "domain", "reserved", "commons")
+STEMS = (
+    "license", "licence", "gpl", "mpl", "cddl", "eupl", "wtfpl", "cc0", "bsd", "domain", "reserved", "commons", "gfdl", "odbl", "pddl", "sspl", "busl",
+    "apache", "permission", "distribut", "released under", "endorse", "mentioning",
+)
 
 # Base phrases and their labels.
 BASE = (
@@ -52,7 +57,8 @@ FAMILIES = (
     ("mit", "expat", "expat license", ()),
     ("mit", "x11", "x11 license", ()),
     ("isc", "isc", "isc license", ()),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|freebsd)(?: license)?", ()),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd)(?: license)?", ()),
+    ("bsd-2-clause", "freebsd", "freebsd(?: license)?", ()),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|modified bsd|revised bsd)(?: license)?", ()),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|original bsd)(?: license)?", ()),
     ("bsd", "bsd", "bsd license", ()),
@@ -116,6 +122,71 @@ SETTINGS = (
 )
 WEIGHT = {1: 0.6, 2: 0.8, 3: 0.9}
 
+#: label, keyword, id in words. Most mean something else when they stand alone, so they count in a setting or after the SPDX tag.
+IDS = (
+    ("mit", "mit", "mit(?: 0)?"),
+    ("isc", "isc", "isc"),
+    ("mit", "x11", "x11"),
+    ("apache", "apache", "apache(?: software)?(?: (?:version )?(?:1 0|1 1|2 0|2))?"),
+    ("bsd", "bsd", "bsd"),
+    ("gpl", "gpl", "gpl (?:1|2|3)(?: 0)?(?: or later| only)?"),
+    ("lgpl", "lgpl", "lgpl (?:2 0|2 1|2|3 0|3)(?: or later| only)?"),
+    ("agpl", "agpl", "agpl (?:1|3)(?: 0)?(?: or later| only)?"),
+    ("gfdl", "gfdl", "gfdl 1 [123](?: invariants| no invariants)?(?: or later| only)?"),
+    ("epl", "epl", "epl (?:1|2)(?: 0)?"),
+    ("cpl", "cpl", "cpl 1 0"),
+    ("artistic", "artistic", "artistic (?:1 0|2 0)"),
+    ("zlib", "zlib", "zlib"),
+    ("libpng", "libpng", "libpng(?: 2 0)?"),
+    ("boost", "bsl", "bsl 1 0"),
+    ("bsl", "busl", "busl 1 1"),
+    ("sspl", "sspl", "sspl 1 0"),
+    ("elastic", "elastic", "elastic 2 0"),
+    ("ofl", "ofl", "ofl 1 [01]"),
+    ("python", "psf", "psf 2 0"),
+    ("python", "python", "python 2 0"),
+    ("php", "php", "php 3 (?:0|01)"),
+    ("ruby", "ruby", "ruby"),
+    ("openssl", "openssl", "openssl"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("ncsa", "ncsa", "ncsa"),
+    ("afl", "afl", "afl (?:1 1|1 2|2 0|2 1|3 0)"),
+    ("osl", "osl", "osl (?:1 0|1 1|2 0|2 1|3 0)"),
+    ("ms-pl", "ms", "ms pl"),
+    ("ms-rl", "ms", "ms rl"),
+    ("upl", "upl", "upl 1 0"),
+    ("odbl", "odbl", "odbl 1 0"),
+    ("pddl", "pddl", "pddl 1 0"),
+)
+BSD_IDS = tuple((f"bsd-{n}-clause", "spdx", f"bsd {n} clause") for n in (2, 3, 4))
+#: Operands of an SPDX expression: the later ones hold the earlier ones, so their priority is lower.
+OPERAND = "[a-z0-9]+(?: [0-9]+| clause| only| or later| by| nc| nd| sa| pl| rl| invariants| no invariants| with [a-z0-9]+ exception(?: [0-9]+)*)*"
+SPDX = tuple((3 - k, "spdx license identifier " + f"{OPERAND} (?:or|and) " * k + "%s") for k in range(3))
+#: label, one word that is a license and its version.
+ABBREVIATIONS = tuple(
+    [(x, f"{x}{v}{n}", f"{x}{v}{n}(?: [01])?" + plus) for x, ns in (("gpl", "123"), ("lgpl", "23"), ("agpl", "13")) for n in ns for v in ("v", "") for plus in ("(?: or later| only)?",)]
+) + (
+    ("mpl", "mplv1", "mplv1(?: [01])?"), ("mpl", "mplv2", "mplv2(?: 0)?"), ("mpl", "mpl2", "mpl2(?: 0)?"), ("apache", "apache2", "apache2(?: 0)?"), ("apache", "apachev2", "apachev2(?: 0)?"),
+    ("apache", "apache", "apache (?:version |v )?2 0"), ("gfdl", "gfdl", "gfdl"), ("odbl", "odbl", "odbl"), ("pddl", "pddl", "pddl"), ("sspl", "sspl", "sspl"), ("sspl", "ssplv1", "ssplv1"), ("bsl", "busl", "busl 1 1"),
+)
+#: label, keyword, priority and a sentence that only this license's text has; the first also opens texts that a longer sentence settles.
+GRANTS = (
+    ("mit", "hereby", 1, "permission is hereby granted free of charge"),
+    ("mit", "hereby", 3, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("ncsa", "hereby", 3, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software"),
+    ("boost", "hereby", 3, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "hereby", 3, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "hereby", 3, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("postgresql", "hereby", 3, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution", 3, "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
+    ("bsd-2-clause", "materials", 3, "and or other materials provided with the distribution this software is provided by"),
+    ("bsd-3-clause", "endorse", 3, "nor the names of (?:its|other|the) (?:contributors|authors) may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", 3, "all advertising materials mentioning features or use of this software must display"),
+    ("zlib", "anyone", 3, "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("unlicense", "unencumbered", 3, "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", 3, "do what the fuck you want to public license"),
+)
+
 
 def spaced(pattern: str) -> str:
     """A pattern over single-spaced words as one over " w1  w2 "."""
@@ -123,9 +194,11 @@ def spaced(pattern: str) -> str:
 
 
 def signatures() -> list[tuple[int, str, str, int, str]]:
-    """(number, keyword, label, priority, pattern) of every rule: each family in each setting, without and with a version."""
+    """(number, keyword, label, priority, pattern) of every rule: each family in each setting, without and with a version,
+    then ids in settings and SPDX expressions, abbreviations and grant texts."""
     rules = []
     for label, keyword, name, versions in FAMILIES:
+        name = re.sub(r"\blicense\b", "licen[cs]e", name)
         forms = [(0, name)]
         if versions:
             known = "|".join(sorted(versions, key=len, reverse=True))
@@ -133,7 +206,12 @@ def signatures() -> list[tuple[int, str, str, int, str]]:
         for priority, setting in SETTINGS:
             for more, form in forms:
                 rules.append((len(rules), keyword, label, priority + (more if priority == 1 else 0), spaced(setting % f"(?:{form})")))
-    return rules
+    named = [(label, "spdx", rf"(?:{name})" + (rf"(?: (?:{'|'.join(sorted(versions, key=len, reverse=True))})(?: 0)?)?(?: or later| only)?" if versions else "")) for label, _, name, versions in FAMILIES if re.fullmatch(r"[a-z0-9 ]+", name) and "license" not in name.split()]
+    more = [(keyword, label, priority, setting % f"(?:{form})") for label, keyword, form in IDS for priority, setting in SETTINGS if priority == 3 and "spdx" not in setting]
+    more += [("spdx", label, priority, setting % f"(?:{form})") for label, _, form in IDS + tuple(named) + BSD_IDS for priority, setting in SPDX]
+    more += [(keyword, label, priority, setting % f"(?:{form})") for label, keyword, form in ABBREVIATIONS for priority, setting in ((3, SETTINGS[0][1]), (2, "%s"))]
+    more += [(keyword, label, priority, sentence) for label, keyword, priority, sentence in GRANTS]
+    return rules + [(len(rules) + i, keyword, label, priority, spaced(form)) for i, (keyword, label, priority, form) in enumerate(more)]
 
 
 def _words(spaced_text: Column) -> Column:
@@ -160,7 +238,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, word and base counts, first and last place, base and all labels, score, kept detections of every text."""
     flat = F.trim(F.regexp_replace(F.translate(F.col("body"), UPPER, LOWER), WORD_BREAK, " "))
     rules = signatures()
-    literal = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(x).alias("label"), F.lit(p).alias("p"), F.lit(r).alias("r")) for n, k, x, p, r in rules])
+    by_keyword: dict[str, list] = {}
+    for n, keyword, label, p, pattern in rules:
+        by_keyword.setdefault(keyword, []).append({"n": n, "label": label, "p": p, "r": pattern})
+    # One constant, each keyword once: a text is searched for every keyword, not for every rule.
+    grouped = F.from_json(F.lit(json.dumps([{"k": f" {k} ", "rules": v} for k, v in by_keyword.items()])), "array<struct<k:string,rules:array<struct<n:int,label:string,p:int,r:string>>>>")
     low = F.col("low")
     stem = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in STEMS])
     may = stem | (F.contains(low, F.lit("cc")) & low.rlike("cc" + WORD_BREAK + "by"))
@@ -176,7 +258,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(F.contains(F.col("wide"), pattern), _places(F.col("wide"), pattern)).otherwise(none)
 
     bases = F.array(*[F.struct(F.lit(label).alias("label"), base_places(phrase).alias("at")) for phrase, label in BASE])
-    wanted = F.filter(literal, lambda r: F.contains(F.col("wide"), F.concat(F.lit(" "), r["k"], F.lit(" "))))
+    wanted = F.flatten(F.transform(F.filter(grouped, lambda g: F.contains(F.col("wide"), g["k"])), lambda g: g["rules"]))
     found = F.flatten(F.transform(wanted, lambda r: F.transform(_places(F.col("wide"), r["r"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-r["p"]).alias("p"), r["n"].alias("n"), r["label"].alias("label")))))
     detected = staged.withColumn("base", F.when(F.col("wide").isNotNull(), bases)).withColumn("found", F.when(F.col("wide").isNotNull(), F.sort_array(found)))
 

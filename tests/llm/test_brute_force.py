@@ -326,6 +326,31 @@ def test_rules_against_plain_regular_expressions(spark, docs):
         assert got[d].labels == ",".join(sorted({x[4] for x in kept} | base))
 
 
+SIGNED = [
+    ("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl"),
+    ("SPDX-License-Identifier: (ISC OR MIT OR Zlib)", "isc,mit,zlib"), ("SPDX-License-Identifier: BSD-3-Clause AND MIT", "bsd-3-clause,mit"), ("SPDX-License-Identifier: GPL-2.0-or-later OR MIT", "gpl,mit"),
+    ("It is Apache-2.0.", "apache"), ("Licensed under MIT.", "mit"), ("Released under ISC", "isc"), ("distributed under the MIT licence", "mit"), ("the MIT licence", "mit"), ("GPLv2", "gpl"), ("GPLv3", "gpl"), ("LGPLv2.1", "lgpl"), ("FreeBSD license", "bsd-2-clause"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated", "mit"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", "boost"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"),
+    ("Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+    ("Er kam mit dem Zug; MIT and Zlib; permission is granted; an Apache helicopter", ""),
+]
+
+
+def test_ids_abbreviations_and_grant_texts(spark):
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SIGNED)], "doc_id long, text string")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(SIGNED)] == SIGNED
+
+
+def test_every_rule_can_pass_the_first_gate():
+    for _, keyword, _, _, pattern in license_scan.signatures():
+        plain = pattern.replace("licen[cs]e", "license").replace("  ", " ")
+        assert any(x in plain for x in license_scan.STEMS) or "cc by" in plain, pattern
+        assert keyword in plain, pattern
+
+
 # --- n-gram join
 
 
