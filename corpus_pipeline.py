@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, ngram_join, pii, quality_rules, sp_sampling
-from lectern.llm._common import documents, keep, table
+from lectern.llm._common import documents, forget, keep, table
 from lectern.llm.queries import ALPHA, SAMPLES, SURROGATE_KEY
 
 
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        forget(before)  # a written stage needs its predecessor no more
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import tempfile
 import uuid
 
@@ -15,44 +13,67 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one only on a local master without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master.split("[")[0] == "local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return _own["dir"]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return the reread table: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by release() or when the driver's JVM ends, also after spark.stop()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files, at = _file_system(spark, path)
+    files.mkdirs(at)  # deleteOnExit takes only what exists
+    files.deleteOnExit(at)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and return the reread table: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by keep() that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        for entry in list(_written):
-            if entry[1].split("/")[-1] in file:
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by keep() that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            for entry in [e for e in _written if e[1].rsplit("/", 1)[-1] in file]:
                 _written.remove(entry)
                 remove(*entry)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):
-            remove(spark, path)
+def release(spark: SparkSession) -> None:
+    """Delete every table that is still kept: call it when no result is read any more."""
+    for entry in [e for e in _written if e[0] is spark]:
+        _written.remove(entry)
+        remove(*entry)
+
+
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names for working columns, made longer until no column of docs has one (case aside)."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,20 +84,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Ids sent to all tasks; more are joined by shuffle.
-SENT_IDS = 2_000_000
-
-
-def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in a written table of distinct ids."""
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
-
-
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in a written table of distinct ids."""
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_anti")
-
-
 def let(value: Column, body) -> Column:
     """Bind value once inside an expression: body gets it as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, license_scan, ngram_join, oracles, pii, quality_classifier, quality_rules, sharding, sp_sampling, token_counts
-from ._common import documents, id_mod, keep, shared_dir, table
+from ._common import documents, id_mod, keep, scratch, table
 
 #: The key of surrogates in these queries; real corpora pass a secret one.
 SURROGATE_KEY = "corpus-surrogates/1"
@@ -20,7 +19,7 @@ SAMPLES, ALPHA = 2, 0.5
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a load of all documents, the same load sent again, and the deletion of all repeated texts."""
     counted = keep(token_counts.count_tokens(documents(spark, sf_dir)), "token-counts")
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = token_counts.Rollup(spark, scratch(spark, "rollup"))
     rollup.commit("load", token_counts.signed(counted, 1))
     rollup.commit("load", token_counts.signed(counted, 1))
     rollup.commit("one-of-each-text", token_counts.revised(counted, token_counts.firsts(counted)))

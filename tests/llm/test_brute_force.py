@@ -53,6 +53,39 @@ def test_rollup_totals_equal_a_recount(spark, tmp_path):
     assert ("b", "de", "byte_bpe_50k/1") not in totals()
 
 
+def test_half_written_markers_and_odd_batch_ids(spark, tmp_path):
+    counted = token_counts.count_tokens(spark.createDataFrame([(1, "one two", "en", "a")], "doc_id long, text string, lang string, source string"))
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    for batch in ("a/b", "fold-1", "x" * 400):
+        assert store.commit(batch, token_counts.signed(counted, 1)) and not store.commit(batch, token_counts.signed(counted, 1))
+    store._fs.create(store._path(f"{store.root}/commits/{store._name('late')}"), False).close()  # the driver died here
+    assert not store.committed("late")
+    assert {r.docs for r in store.totals().collect()} == {3}
+    assert store.commit("late", token_counts.signed(counted, 1)) and store.committed("late")
+    assert {r.docs for r in store.totals().collect()} == {4}
+
+
+def test_a_batch_committed_while_folding_counts_once(spark, tmp_path, monkeypatch):
+    counted = token_counts.count_tokens(spark.createDataFrame([(1, "one two", "en", "a")], "doc_id long, text string, lang string, source string"))
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    for batch in ("b1", "b2"):
+        store.commit(batch, token_counts.signed(counted, 1))
+    whole, listed = store._sum, []
+
+    def between(live):
+        if not listed:
+            listed.append(1)
+            store.commit("b3", token_counts.signed(counted, 1))
+        return whole(live)
+
+    monkeypatch.setattr(store, "_sum", between)
+    store.compact()
+    assert {r.docs for r in store.totals().collect()} == {3}
+    # Two folds that share a batch never count it twice.
+    partial = [{"data": "f1", "covers": ["b1", "b2"]}, {"data": "f2", "covers": ["b2", "b3"]}, *({"data": b, "covers": [b]} for b in ("b1", "b2", "b3"))]
+    assert [m["data"] for m in store._live(partial)] == ["f1", "b3"]
+
+
 def test_token_query_counts_distinct_texts(spark, corpus, docs):
     got = {(r.source, r.lang, r.version): (r.docs, r.tokens, r.bytes) for r in queries.op1_token_counts(spark, corpus).collect()}
     first = {}
@@ -405,11 +438,57 @@ def test_groups_of_the_corpus(spark, corpus, docs):
 def test_split_shingles_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
     monkeypatch.setattr(ngram_join, "TASK_ROWS", 500)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "REMEMBERED", 2)
     rows = near_copies(9)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == groups_of(rows)
 
 
+def test_one_shingle_in_many_unlike_sets_is_dealt_out(spark):
+    """20,000 sets of one common shingle and one of their own: no task gets more than its cells."""
+    rows = [(7, 0, 1, i, 1 + i % 60, 0, int(ngram_join.band(1 + i % 60))) for i in range(20_000)]
+    tiles = spark.createDataFrame(rows, "token long, salt int, parts int, id long, n int, pos int, band long")
+    groups = spark.createDataFrame([], "node long, root long")
+    got = {(r.a, r.b) for r in ngram_join.open_pairs(tiles.where("id < 600"), groups).collect()}
+    near = lambda x, y: 100 * min(x, y) >= 75 * max(x, y)
+    assert got == {(a, b) for a in range(600) for b in range(a + 1, 600) if near(1 + a % 60, 1 + b % 60)}
+    plan = ngram_join.open_pairs(tiles, groups)._jdf.queryExecution().optimizedPlan().toString()
+    assert "place" in plan and "line" in plan and "tile" in plan  # joined cell by cell
+
+
+ONE_OF_EACH = [
+    ([(5, "p q r s t u"), (3, "p q r s t u"), (5, "quite another text that stands alone")], [(3, "p q r s t u"), (5, "quite another text that stands alone")]),
+    ([(5, "p q r s t u"), (5, "p q r s t u")], [(5, "p q r s t u")]),
+    ([(None, "p q r s t u"), (None, "p q r s t u")], [(None, "p q r s t u")]),
+    ([(4, "P q r\ts t u"), (None, "p q r s t u"), (4, "P q r\ts t u")], [(4, "P q r\ts t u")]),
+    ([(6, ""), (6, ""), (7, None)], [(6, ""), (6, ""), (7, None)]),
+]
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+@pytest.mark.parametrize(("rows", "want"), ONE_OF_EACH)
+def test_one_row_of_each_group_stays(spark, monkeypatch, rows, want, sent):
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", sent)
+    got = ngram_join.keep_one(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _t string, i string"))
+    assert got.columns == ["doc_id", "text", "_t", "i"]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_bloom_filters_never_miss(spark):
+    ids = spark.range(5000).selectExpr("id * 7919 - 9 as id")
+    held = ngram_join.bloom(ids)
+    assert held.may_hold(np.arange(5000, dtype=np.int64) * 7919 - 9).all()
+    assert held.may_hold(np.arange(10**6, 10**6 + 5000, dtype=np.int64) * 7919).mean() < 0.1
+
+
+def test_hubs_meet_their_least_neighbour_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
+    edges = [(i, 1000) for i in range(1, 40)] + [(i, i + 1) for i in range(2000, 2010)]
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(2, 40)}, 1000: 1, **{i: 2000 for i in range(2001, 2011)}}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.integers(0, 60))
 def test_bitmaps_never_underestimate(a, b, common):
