@@ -10,11 +10,10 @@ def _q(text: str) -> str:
 
 
 _R = quality_rules
-_BIT = "length(bin(v))"
 _BUCKET = "(greatest(length(bin(v)) - 4, 0) * 8 + (v >> greatest(length(bin(v)) - 4, 0)))"
 _FLOOR = "((b - greatest(b // 8 - 1, 0) * 8) << greatest(b // 8 - 1, 0))"
-_LEAST = " ".join(f"WHEN {_q(k)} THEN {s}" for k, (s, _) in _R.RATIOS.items())
-_TWO_SIDED = ", ".join(_q(k) for k, (_, both) in _R.RATIOS.items() if both)
+_EVENT = " ".join(f"WHEN {_q(k)} THEN ceil({e} / greatest({size}, 1))::BIGINT" for k, (e, size, _) in _R.RATIOS.items())
+_TWO_SIDED = ", ".join(_q(k) for k, (*_, both) in _R.RATIOS.items() if both)
 
 OP3 = f"""WITH w AS (SELECT doc_id, coalesce(lang, '{_R.NONE}') AS lang, coalesce(source, '{_R.NONE}') AS source, coalesce(text, '') AS body,
   list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
@@ -26,16 +25,16 @@ base AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regex
   len(regexp_extract_all(body, {_q(_R.MARKS)}))::BIGINT AS n_marks, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols, CASE WHEN n_words > 0 THEN 1000 * n_marks // n_words ELSE 0 END AS marks,
   CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length FROM base),
-long AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'marks', 'dup_lines', 'word_length']) AS ratio, unnest([symbols, marks, dup_lines, word_length])::BIGINT AS v FROM judged),
+long AS (SELECT doc_id, lang, source, base_failed, ratio, v, CASE ratio {_EVENT} END AS own FROM (SELECT *, unnest(['symbols', 'marks', 'dup_lines', 'word_length']) AS ratio, unnest([symbols, marks, dup_lines, word_length])::BIGINT AS v FROM judged)),
 sk AS (SELECT lang, source, ratio, {_BUCKET} AS b, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
 levels AS (SELECT lang, source, ratio, b, n FROM sk UNION ALL SELECT lang, '{_R.ALL}', ratio, b, sum(n) FROM sk GROUP BY ALL UNION ALL SELECT '{_R.ALL}', '{_R.ALL}', ratio, b, sum(n) FROM sk GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM levels),
-quart AS (SELECT lang, source, ratio, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN b END) AS b1, min(CASE WHEN 4 * upto >= 3 * total THEN b END) AS b3 FROM run GROUP BY ALL),
-q AS (SELECT lang, source, ratio, docs, {_FLOOR.replace('b ', 'b1 ')} AS q1, {_FLOOR.replace('b ', 'b3 ')} AS q3 FROM quart),
-bounds AS (SELECT lang, source, ratio, docs, CASE WHEN ratio IN ({_TWO_SIDED}) THEN q1 - {_R.FENCE} * greatest(q3 - q1, CASE ratio {_LEAST} END) ELSE -1 END AS low, q3 + {_R.FENCE} * greatest(q3 - q1, CASE ratio {_LEAST} END) AS high FROM q),
-picked AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.docs >= {_R.GROUP_MIN} THEN o.low WHEN l.docs >= {_R.GROUP_MIN} THEN l.low ELSE g.low END AS low, CASE WHEN o.docs >= {_R.GROUP_MIN} THEN o.high WHEN l.docs >= {_R.GROUP_MIN} THEN l.high ELSE g.high END AS high
+quart AS (SELECT lang, source, ratio, max(total) AS docs, {", ".join(f"min(CASE WHEN 20 * upto >= {k} * total THEN b END) AS b{k}" for k in (2, 5, 15, 18))} FROM run GROUP BY ALL),
+q AS (SELECT *, b15 + 1 AS b16, {_FLOOR.replace('b ', 'b2 ')} AS p10, {_FLOOR.replace('b ', 'b5 ')} AS q1, {_FLOOR.replace('b ', 'b15 ')} AS q3, {_FLOOR.replace('b ', 'b18 ')} AS p90 FROM quart),
+bounds AS (SELECT lang, source, ratio, docs, q1, q3, greatest(q3 - q1, (p90 - p10) * {_R.TENTHS} // 1000, {_FLOOR.replace('b ', 'b16 ')} - q3)::BIGINT AS spread FROM q),
+picked AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.docs >= {_R.GROUP_MIN} THEN o WHEN l.docs >= {_R.GROUP_MIN} THEN l ELSE g END AS f
   FROM bounds o LEFT JOIN bounds l ON l.lang = o.lang AND l.source = '{_R.ALL}' AND l.ratio = o.ratio LEFT JOIN bounds g ON g.lang = '{_R.ALL}' AND g.ratio = o.ratio WHERE o.source <> '{_R.ALL}'),
-bad AS (SELECT DISTINCT doc_id FROM long JOIN picked USING (lang, source, ratio) WHERE v > high OR v < low)
+bad AS (SELECT DISTINCT doc_id FROM long JOIN picked USING (lang, source, ratio) WHERE v > f.q3 + {_R.FENCE} * greatest(f.spread, own) OR (ratio IN ({_TWO_SIDED}) AND v < f.q1 - {_R.FENCE} * greatest(f.spread, own)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM judged"""
 
 _UP, _LOW = license_scan.UPPER, license_scan.LOWER
@@ -70,7 +69,9 @@ OP9 = f"""WITH crc AS (SELECT list_transform(range(256), lambda x: list_reduce(l
 s AS (SELECT doc_id, coalesce(text, '') AS body, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, md5(coalesce(text, '')) AS h FROM documents),
 sums AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM s, crc),
 g AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY h) AS whole, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM s),
-p AS (SELECT *, CASE WHEN whole * 800 <= total THEN 2 * min(start) OVER (PARTITION BY h) + whole ELSE 2 * start + size END AS twice FROM g), k AS (SELECT *, (8 * twice // (2 * total))::INT AS shard FROM p)
+w AS (SELECT *, min(start) OVER (PARTITION BY h) AS first FROM g),
+cut AS (SELECT j, max(CASE WHEN 8 * first < j * total AND j * total < 8 * (first + whole) AND 2 * least(j * total - 8 * first, 8 * (first + whole) - j * total) <= {sharding.TOLERANCE} * total THEN CASE WHEN 8 * (first + whole) - j * total >= j * total - 8 * first THEN first ELSE first + whole END END) AS moved FROM w, range(1, 8) t(j) GROUP BY j),
+k AS (SELECT w.doc_id, w.h, w.size, sum(CASE WHEN moved IS NOT NULL THEN start >= moved ELSE 8 * start >= j * total OR (8 * (start + size) > j * total AND 8 * (start + size) - j * total >= j * total - 8 * start) END::INT)::INT AS shard FROM w, cut GROUP BY w.doc_id, w.h, w.size)
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id)::BIGINT - 1 AS slot, NULL::INT AS grown_shard FROM k JOIN sums USING (doc_id)"""
 
 assert sharding.TEXT_DIGITS == 32

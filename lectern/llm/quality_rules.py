@@ -2,12 +2,16 @@
 
 Every document gets counts of words, symbols, repeated lines and repeated three-word windows. The ratios of
 those counts go into mergeable sketches: log-linear histograms of integers (eight steps to a power of two), whose
-bucket counts simply add up, per language and source. A ratio is rejected if it lies far beyond the quartiles of
-its group. Groups with few documents use the merged sketch of their language, or of all documents.
+bucket counts simply add up, per language and source. A ratio is rejected if it lies more than FENCE spreads beyond the
+quartiles of its group. The spread is read off the sketch: the wider of the distance of the quartiles and that of the
+outer tenths (scaled to agree with it for a normal law), and no finer than the sketch resolves, one bucket. It is never
+finer than the document itself resolves either: what one symbol, mark, line or long word more changes in its ratio.
+Groups with few documents use the merged sketch of their language, or of all documents.
 
 Defined cases: a null or empty text has no words and fails the base rule; null lang or source form groups of
-their own; ties and repeated rows count each; an empty table gives an empty result; other columns are kept by
-`keep_good` and ignored elsewhere.
+their own; ties and repeated rows count each; an empty table gives an empty result; other columns, whatever their
+names, are kept by `keep_good` and ignored elsewhere. A very long text is counted whole; its words are held as one
+array, at about 60 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -18,22 +22,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import keep, let
+from ._common import forget, keep, let, spare
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS, MARKS = "[#*$%&|<>]", r"[!?{}\[\]=~^\\]"
 NONE = "(none)"
 ALL = "(all)"
-#: Ratios judged, the fewest steps of spread a fence allows, and whether low values are rejected too.
+#: Ratios judged: parts of the unit that one event adds (divided by the document's size), the size, and whether low
+#: values are rejected too. The mean word length is in hundredths; its event is a word of forty characters more.
 RATIOS = {
-    "symbols": (10, False),
-    "marks": (60, False),
-    "dup_lines": (250, False),
-    "word_length": (60, True),
+    "symbols": (1000, "word_chars", False),
+    "marks": (1000, "n_words", False),
+    "dup_lines": (1000, "n_lines", False),
+    "word_length": (4000, "n_words", True),
 }
 #: A fence lies this many spreads beyond the quartile.
 FENCE = 3
+#: Distance of the quartiles of a normal law over that of its outer tenths, in thousandths.
+TENTHS = 527
 #: Groups with fewer documents borrow the sketch of their language, then of all.
 GROUP_MIN = 40
 #: More groups than this are joined by shuffle instead of broadcast.
@@ -78,7 +85,7 @@ def counts(docs: DataFrame, into: str = "_q") -> DataFrame:
         n, r, chars = m["w"]["n"], m["w"]["r"], m["word_chars"]
         share = lambda a, b: F.when(b > 0, F.floor(1000 * a / b)).otherwise(F.lit(0)).cast("long")
         return F.struct(
-            n.alias("n_words"), chars.alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["d"].alias("n_dup_lines"), r.alias("n_repeat_words"),
+            n.alias("n_words"), chars.alias("word_chars"), m["l"]["n"].alias("n_lines"), m["n_symbols"].alias("n_symbols"), m["l"]["d"].alias("n_dup_lines"), r.alias("n_repeat_words"),
             ((n < 50) | (100 * r > 50 * n)).alias("base_failed"),
             F.struct(
                 share(m["n_symbols"], chars).alias("symbols"), share(m["n_marks"], n).alias("marks"),
@@ -119,24 +126,20 @@ def merge(sketches: DataFrame, *by: str) -> DataFrame:
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """One row per lang and source, with the least and the greatest accepted value of each ratio."""
+    """One row per lang and source, with the quartiles q1 and q3 and the spread of each ratio."""
     sketches = keep(sketches, "sketches")
     levels = sketches.select("lang", "source", "ratio", "bucket", "n").unionByName(
         merge(sketches, "lang").withColumn("source", F.lit(ALL))
     ).unionByName(merge(sketches).withColumn("lang", F.lit(ALL)).withColumn("source", F.lit(ALL)))
     w = Window.partitionBy("lang", "source", "ratio")
     running = levels.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("bucket")))
-    stats = running.groupBy("lang", "source", "ratio").agg(floor_of(quartile(1)).alias("q1"), floor_of(quartile(3)).alias("q3"), F.max("all").alias("docs"))
-    least = F.element_at(F.create_map(*[F.lit(x) for k, (s, _) in RATIOS.items() for x in (k, s)]), F.col("ratio"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), least)
-    bounds = stats.withColumn("low", F.col("q1") - FENCE * spread).withColumn("high", F.col("q3") + FENCE * spread)
-    wide = bounds.groupBy("lang", "source").agg(
-        F.max("docs").alias("docs"),
-        *[F.max(F.when(F.col("ratio") == k, F.col("high"))).alias(f"{k}_high") for k in RATIOS],
-        *[F.max(F.when(F.col("ratio") == k, F.col("low"))).alias(f"{k}_low") for k, (_, both) in RATIOS.items() if both],
-    )
-    values = [c for c in wide.columns if c not in ("lang", "source", "docs")]
+    twentieth = lambda k: F.min(F.when(20 * F.col("upto") >= k * F.col("all"), F.col("bucket")))
+    at = running.groupBy("lang", "source", "ratio").agg(*[twentieth(k).alias(f"b{k}") for k in (2, 5, 15, 18)], F.max("all").alias("docs"))
+    low, q1, q3, high = (floor_of(F.col(f"b{k}")) for k in (2, 5, 15, 18))
+    spread = F.greatest(q3 - q1, F.floor((high - low) * TENTHS / 1000), floor_of(F.col("b15") + 1) - q3)
+    stats = at.select("lang", "source", "ratio", "docs", q1.alias("q1"), q3.alias("q3"), spread.cast("long").alias("spread"))
+    wide = stats.groupBy("lang", "source").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("ratio") == k, F.col(v))).alias(f"{k}_{v}") for k in RATIOS for v in ("q1", "q3", "spread")])
+    values = wide.columns[3:]
     wide = keep(wide, "fences")
     own = wide.where((F.col("source") != ALL) & (F.col("lang") != ALL))
     of_lang = wide.where((F.col("source") == ALL) & (F.col("lang") != ALL)).select("lang", F.struct("docs", *values).alias("l"))
@@ -144,33 +147,40 @@ def fences(sketches: DataFrame) -> DataFrame:
     joined = own.join(of_lang, "lang", "left")
     overall = lambda v: F.lit(of_all[v] if of_all else None).cast("long")
     pick = lambda v: F.when(F.col("docs") >= GROUP_MIN, F.col(v)).when(F.col("l.docs") >= GROUP_MIN, F.col(f"l.{v}")).otherwise(overall(v))
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(v).alias(f"_{v}") for v in values])
+    done = keep(joined.select("lang", "source", *[pick(v).alias(v) for v in values]), "limits")
+    forget(sketches, wide)
+    return done
 
 
-def judge(counted: DataFrame, limits: DataFrame, at: str = "_q") -> DataFrame:
-    """counted with a boolean `_kept`: the base rule and every fence of the document's group hold."""
-    limits = keep(limits, "limits")
+def judge(counted: DataFrame, limits: DataFrame, at: str, into: str) -> DataFrame:
+    """counted with a boolean column: the base rule and every fence of the document's group hold."""
+    named = spare(counted, *limits.columns)
+    mine = dict(zip(limits.columns, named, strict=True))
+    held = limits.toDF(*named)
     if limits.count() <= BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
-    joined = counted.join(limits, (group_key("lang") == F.col("_lang")) & (group_key("source") == F.col("_source")), "left")
+        held = F.broadcast(held)
+    joined = counted.join(held, (group_key("lang") == F.col(mine["lang"])) & (group_key("source") == F.col(mine["source"])), "left")
     # One sum that needs both sides and is never null: conditions on the counts alone would be pushed below the join and
     # take them again.
     faults = F.col(f"{at}.base_failed").cast("int")
-    for k, (_, both) in RATIOS.items():
-        faults = faults + (F.col(f"{at}.ratios.{k}") > F.coalesce(F.col(f"_{k}_high"), F.lit(2**40))).cast("int")
+    for k, (event, size, both) in RATIOS.items():
+        value, q1, q3 = F.col(f"{at}.ratios.{k}"), F.coalesce(F.col(mine[f"{k}_q1"]), F.lit(0)), F.coalesce(F.col(mine[f"{k}_q3"]), F.lit(2**40))
+        step = F.greatest(F.coalesce(F.col(mine[f"{k}_spread"]), F.lit(2**40)), F.ceil(F.lit(event) / F.greatest(F.col(f"{at}.{size}"), F.lit(1))))
+        faults = faults + (value > q3 + FENCE * step).cast("int")
         if both:
-            faults = faults + (F.col(f"{at}.ratios.{k}") < F.coalesce(F.col(f"_{k}_low"), F.lit(-1))).cast("int")
-    return joined.withColumn("_kept", F.coalesce(faults, F.lit(1)) == 0).drop(*limits.columns)
+            faults = faults + (value < q1 - FENCE * step).cast("int")
+    return joined.withColumn(into, F.coalesce(faults, F.lit(1)) == 0).drop(*named)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the counts and the verdict of every document."""
     measured = keep(counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality-counts")
-    judged = judge(measured, fences(sketch(measured)))
-    return judged.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], F.col("_kept").alias("kept"))
+    judged = judge(measured, fences(sketch(measured)), "_q", "kept")
+    return judged.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns. Counts are taken twice rather than shuffling every text."""
     limits = fences(sketch(counts(docs.select("text", "lang", "source"))))
-    return judge(counts(docs), limits).where("_kept").select(*docs.columns)
+    at, into = spare(docs, "q", "kept")
+    return judge(counts(docs, at), limits, at, into).where(F.col(into)).select(*docs.columns)

@@ -1,29 +1,35 @@
 """Histogram sort into shards of near-equal bytes.
 
-Rows are ordered by (md5 of the text, doc_id), so equal texts stand together. The driver keeps a few key
-prefixes that hold a wanted boundary; each round counts, on the executors, the exact bytes and rows below finer
-probes inside those prefixes only, until each boundary is a single row or a group of equal texts small enough
-to stay whole. Then one exchange by range gives every row its shard and slot.
+Rows are ordered by (md5 of the text, doc_id), so equal texts stand together. The driver keeps the few key
+prefixes that hold one of the shards - 1 boundaries; each round counts, on the executors, the exact bytes and rows below
+finer probes inside those prefixes only, until each boundary is a single row or a group of equal texts that may stay
+whole. Then one exchange by ranges of the key gives every row its place in the order, and with the counts of the ranges
+its slot. The driver sees at most (shards - 1) * 4096 counts a round, whatever the number of rows.
+
+A boundary that falls into a group of equal texts moves to the group's nearer end if that is at most half of
+`tolerance` of a shard away, so shards stay within `tolerance` of equal size; a group that cannot move so is split.
 
 Defined cases: a null text has size 1 and the crc32 of no bytes; a null doc_id sorts first among equal texts;
-rows equal in text and doc_id are ties and get neighbouring slots of the same shard; an empty table gives an
-empty result; extra columns are ignored. A group of equal texts is split only if it holds more than `whole_share`
-of a shard.
+rows equal in text and doc_id are ties and get neighbouring slots; an empty table gives an empty result; extra columns
+are ignored. A very long text counts as one row; only its size and hashes are moved.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import keep
+from ._common import forget, keep
 
 #: Lengths of the key prefixes probed in turn: hexadecimal digits of md5 (32), then of doc_id (16).
 PROBES = (3, 6, 9, 32, 35, 38, 41, 44, 47, 48)
 TEXT_DIGITS = 32
+#: Shards are within this share of equal size.
+TOLERANCE = 0.02
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -39,17 +45,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def splitters(rows: DataFrame, ranges: int, whole_share: float, shards: int) -> list[str]:
-    """Keys S_1 <= ... <= S_(ranges-1): a row belongs to range r if exactly r of them are <= its key.
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[str]:
+    """Keys S_1 <= ... <= S_(shards-1): a row belongs to shard r if exactly r of them are <= its key.
 
-    A unit's range is floor(ranges * middle / total), where middle is half its bytes beyond all bytes before it: a boundary
-    falls on the nearer side of the unit it cuts. A unit is a row, or a whole group of equal texts of at most
-    whole_share * total / shards bytes.
+    A boundary falls on the nearer side of the unit it cuts: a row, or a group of equal texts whose nearer side lies
+    within tolerance / 2 of a shard.
     """
     found: dict[int, str] = {}
-    active: dict[str, tuple[int, list[int]]] = {"": (0, list(range(1, ranges)))}
-    goals: list[int] = []
-    whole = 0.0
+    active: dict[str, tuple[int, list[int]]] = {"": (0, list(range(1, shards)))}
+    total = 0
     for before, length in zip((0, *PROBES), PROBES, strict=False):
         if not active:
             break
@@ -60,8 +64,6 @@ def splitters(rows: DataFrame, ranges: int, whole_share: float, shards: int) ->
             children.setdefault(r.p[:before], []).append(r)
         if before == 0:
             total = sum(r.b for r in counted)
-            goals = [-(-j * total // ranges) for j in range(ranges)]
-            whole = whole_share * total / shards
             if not total:
                 return []
         following: dict[str, tuple[int, list[int]]] = {}
@@ -69,53 +71,37 @@ def splitters(rows: DataFrame, ranges: int, whole_share: float, shards: int) ->
             at, todo = below, list(wanted)
             for r in children.get(prefix, []):
                 end = at + r.b
-                inside = [j for j in todo if goals[j] <= end]
-                todo = todo[len(inside) :]
-                for j in inside:
-                    if goals[j] <= at:
+                while todo and todo[0] * total <= end * shards:
+                    j = todo.pop(0)  # its goal is j * total / shards
+                    after, short = j * total - at * shards, end * shards - j * total
+                    if after <= 0:
                         found[j] = r.p
-                    elif goals[j] == end:
+                    elif short == 0:
                         found[j] = r.p + "g"
-                    elif r.n == 1 or length == PROBES[-1] or (length == TEXT_DIGITS and r.b <= whole):
-                        found[j] = r.p if (at + end) * ranges >= 2 * j * total else r.p + "g"
+                    elif r.n == 1 or length == PROBES[-1] or (length == TEXT_DIGITS and 2 * min(after, short) <= tolerance * total):
+                        found[j] = r.p if short >= after else r.p + "g"
                     else:
                         following.setdefault(r.p, (at, []))[1].append(j)
                 at = end
             for j in todo:
                 found[j] = prefix + "g"
         active = following
-    return [found[j] for j in range(1, ranges)]
+    return [found[j] for j in range(1, shards)]
 
 
-def histogram_sort(docs: DataFrame, shards: int = 8, whole_share: float = 0.01, rows_per_range: int = 500_000) -> DataFrame:
+def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, rows_per_range: int = 500_000) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; sizes of shards near equal, slots gapless from 0."""
     spark = docs.sparkSession
     rows = keep(keyed(docs), "shard-keys")
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / rows_per_range))
-    each = max(1, math.ceil(wanted / shards))
-    cuts = splitters(rows, shards * each, whole_share, shards)
-    lead = PROBES[0]
-    starts = sorted({c[:lead] for c in cuts})
-    # At most 16**3 leading digits: which splitters share them, and how many lie below.
-    table = [(f"{i:0{lead}x}",) for i in range(16**lead)]
-    held: dict[str, list[str]] = {s: [c for c in cuts if c[:lead] == s] for s in starts}
-    known, below, k = [], 0, 0
-    for (p,) in table:
-        while k < len(starts) and starts[k] < p:
-            below += len(held[starts[k]])
-            k += 1
-        known.append((p, below, held.get(p, [])))
-    lookup = spark.createDataFrame(known, f"lead string, below int, inside array<string>").coalesce(1)
-    ranged = rows.withColumn("lead", F.left("key", F.lit(lead))).join(F.broadcast(lookup), "lead").select(
-        "doc_id", "size", "text_crc32", "key",
-        (F.col("below") + F.size(F.filter("inside", lambda s: s <= F.col("key")))).alias("range"),
-    )
-    counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
-    first = []
-    for r in range(shards * each):
-        first.append(0 if r % each == 0 else first[-1] + counts.get(r - 1, 0))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("key", "size"))
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), F.col("range") + 1)
-    return ranged.withColumn("slot", offset + place - 1).select(
-        "doc_id", "size", "text_crc32", F.expr(f"cast(range div {each} as int)").alias("shard"), F.col("slot").cast("long")
-    )
+    cuts = splitters(rows, shards, tolerance)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / rows_per_range))
+    shard = reduce(lambda a, c: a + (F.col("key") >= c).cast("int"), cuts, F.lit(0))
+    # The exchange: the number that a row is given holds its range and its place in it.
+    ordered = rows.repartitionByRange(ranges, "key").sortWithinPartitions("key", "size").withColumn("at", F.monotonically_increasing_id())
+    placed = keep(ordered.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("place")), "placed")
+    forget(rows)
+    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"), F.min("place").alias("low"))
+    # As many rows as there are ranges, and one more for each boundary.
+    earlier = F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("shard", "range", (F.coalesce(earlier, F.lit(0)) - F.col("low")).alias("offset"))
+    return placed.join(F.broadcast(keep(offsets, "offsets")), ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("offset")).cast("long").alias("slot"))
