@@ -31,9 +31,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the text."""
-    done = pii.replaced(docs, SURROGATE_KEY)
+    done, (found, _) = pii.replaced(docs, SURROGATE_KEY), pii.report_names(docs)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.when(F.col(found) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 
 

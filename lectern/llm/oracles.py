@@ -29,9 +29,9 @@ long AS (SELECT doc_id, lang, source, base_failed, ratio, v, CASE ratio {_EVENT}
 sk AS (SELECT lang, source, ratio, {_BUCKET} AS b, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
 levels AS (SELECT lang, source, ratio, b, n FROM sk UNION ALL SELECT lang, '{_R.ALL}', ratio, b, sum(n) FROM sk GROUP BY ALL UNION ALL SELECT '{_R.ALL}', '{_R.ALL}', ratio, b, sum(n) FROM sk GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM levels),
-quart AS (SELECT lang, source, ratio, max(total) AS docs, {", ".join(f"min(CASE WHEN 20 * upto >= {k} * total THEN b END) AS b{k}" for k in (2, 5, 15, 18))} FROM run GROUP BY ALL),
-q AS (SELECT *, b15 + 1 AS b16, {_FLOOR.replace('b ', 'b2 ')} AS p10, {_FLOOR.replace('b ', 'b5 ')} AS q1, {_FLOOR.replace('b ', 'b15 ')} AS q3, {_FLOOR.replace('b ', 'b18 ')} AS p90 FROM quart),
-bounds AS (SELECT lang, source, ratio, docs, q1, q3, greatest(q3 - q1, (p90 - p10) * {_R.TENTHS} // 1000, {_FLOOR.replace('b ', 'b16 ')} - q3)::BIGINT AS spread FROM q),
+quart AS (SELECT lang, source, ratio, max(total) AS docs, {", ".join(f"min(CASE WHEN 20 * upto >= {k} * total THEN b END) AS b{k}" for k in (4, 5, 15, 16))} FROM run GROUP BY ALL),
+q AS (SELECT *, b15 + 1 AS b99, {_FLOOR.replace('b ', 'b4 ')} AS p20, {_FLOOR.replace('b ', 'b5 ')} AS q1, {_FLOOR.replace('b ', 'b15 ')} AS q3, {_FLOOR.replace('b ', 'b16 ')} AS p80 FROM quart),
+bounds AS (SELECT lang, source, ratio, docs, q1, q3, greatest(q3 - q1, (p80 - p20) * {_R.FIFTHS} // 1000, {_FLOOR.replace('b ', 'b99 ')} - q3)::BIGINT AS spread FROM q),
 picked AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.docs >= {_R.GROUP_MIN} THEN o WHEN l.docs >= {_R.GROUP_MIN} THEN l ELSE g END AS f
   FROM bounds o LEFT JOIN bounds l ON l.lang = o.lang AND l.source = '{_R.ALL}' AND l.ratio = o.ratio LEFT JOIN bounds g ON g.lang = '{_R.ALL}' AND g.ratio = o.ratio WHERE o.source <> '{_R.ALL}'),
 bad AS (SELECT DISTINCT doc_id FROM long JOIN picked USING (lang, source, ratio) WHERE v > f.q3 + {_R.FENCE} * greatest(f.spread, own) OR (ratio IN ({_TWO_SIDED}) AND v < f.q1 - {_R.FENCE} * greatest(f.spread, own)))

@@ -4,7 +4,7 @@ Every document gets counts of words, symbols, repeated lines and repeated three-
 those counts go into mergeable sketches: log-linear histograms of integers (eight steps to a power of two), whose
 bucket counts simply add up, per language and source. A ratio is rejected if it lies more than FENCE spreads beyond the
 quartiles of its group. The spread is read off the sketch: the wider of the distance of the quartiles and that of the
-outer tenths (scaled to agree with it for a normal law), and no finer than the sketch resolves, one bucket. It is never
+outer fifths (scaled to agree with it for a normal law), and no finer than the sketch resolves, one bucket. It is never
 finer than the document itself resolves either: what one symbol, mark, line or long word more changes in its ratio.
 Groups with few documents use the merged sketch of their language, or of all documents.
 
@@ -39,8 +39,8 @@ RATIOS = {
 }
 #: A fence lies this many spreads beyond the quartile.
 FENCE = 3
-#: Distance of the quartiles of a normal law over that of its outer tenths, in thousandths.
-TENTHS = 527
+#: Distance of the quartiles of a normal law over that of its outer fifths, in thousandths.
+FIFTHS = 801
 #: Groups with fewer documents borrow the sketch of their language, then of all.
 GROUP_MIN = 40
 #: More groups than this are joined by shuffle instead of broadcast.
@@ -134,9 +134,9 @@ def fences(sketches: DataFrame) -> DataFrame:
     w = Window.partitionBy("lang", "source", "ratio")
     running = levels.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
     twentieth = lambda k: F.min(F.when(20 * F.col("upto") >= k * F.col("all"), F.col("bucket")))
-    at = running.groupBy("lang", "source", "ratio").agg(*[twentieth(k).alias(f"b{k}") for k in (2, 5, 15, 18)], F.max("all").alias("docs"))
-    low, q1, q3, high = (floor_of(F.col(f"b{k}")) for k in (2, 5, 15, 18))
-    spread = F.greatest(q3 - q1, F.floor((high - low) * TENTHS / 1000), floor_of(F.col("b15") + 1) - q3)
+    at = running.groupBy("lang", "source", "ratio").agg(*[twentieth(k).alias(f"b{k}") for k in (4, 5, 15, 16)], F.max("all").alias("docs"))
+    low, q1, q3, high = (floor_of(F.col(f"b{k}")) for k in (4, 5, 15, 16))
+    spread = F.greatest(q3 - q1, F.floor((high - low) * FIFTHS / 1000), floor_of(F.col("b15") + 1) - q3)
     stats = at.select("lang", "source", "ratio", "docs", q1.alias("q1"), q3.alias("q3"), spread.cast("long").alias("spread"))
     wide = stats.groupBy("lang", "source").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("ratio") == k, F.col(v))).alias(f"{k}_{v}") for k in RATIOS for v in ("q1", "q3", "spread")])
     values = wide.columns[3:]

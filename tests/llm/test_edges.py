@@ -17,8 +17,8 @@ def test_token_counts(spark, edge, empty):
 
 def test_decontamination(edge, empty, items):
     got = decontaminate.matches(edge, items)
-    assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == {(d, i, 0) for d in (8, 9, 10, None) for i in (1, 5)}
-    assert got.count() == 10  # rows of document 8 repeat
+    assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == {(d, i, 0) for d in (8, 9, 10, None) for i in (1, 5, None)}
+    assert got.count() == 15  # rows of document 8 repeat
     assert decontaminate.matches(empty, items).count() == 0
     assert decontaminate.matches(edge, items.limit(0)).count() == 0
     assert decontaminate.drop_leaky(edge, items).count() == N - 5
@@ -42,8 +42,8 @@ def test_sampling(edge, empty):
     got = sp_sampling.sample(edge, k=3).collect()
     assert all(r.decoded for r in got)
     assert {r.doc_id for r in got} == {r[0] for r in ROWS if r[1]}
-    assert len([r for r in got if r.doc_id == 8]) == 6
-    assert len({(r.sample, tuple(r.ids)) for r in got if r.doc_id == 8}) == 3  # repeated rows get equal samples
+    assert len([r for r in got if r.doc_id == 8]) == 9
+    assert len({(r.sample, tuple(r.ids)) for r in got if r.doc_id == 8}) == 6  # repeated rows get equal samples
     assert sp_sampling.sample(empty).collect() == []
 
 
@@ -77,8 +77,8 @@ def test_ngram_join(edge, empty):
     assert ngram_join.join(empty).collect() == []
     kept = ngram_join.keep_one(edge)
     assert kept.columns == edge.columns
-    # of the rows with PROSE one stays: documents 8 (twice), 9, 10 and one without a doc_id
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(r[0]) for r in ROWS if r[0] not in (8, 9, 10, None)), "8", "None"])
+    # of the rows with PROSE one stays: documents 8 (twice), 9, 10 and one without a doc_id; the other text of document 8 stays
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(r[0]) for r in ROWS if r[0] not in (8, 9, 10, None)), "8", "8", "None"])
 
 
 def test_quality_classifier(spark, edge, empty):
@@ -106,9 +106,11 @@ def test_sharding(edge, empty):
 
 def test_pii(spark, edge, empty):
     got = pii.replaced(edge, "k")
-    assert got.columns == [*edge.columns, "n_entities", "kinds"]
-    texts = {(r.doc_id, r.text) for r in got.collect()}
-    assert texts == {(r[0], r[1]) for r in ROWS}  # nothing personal: unchanged
+    assert got.columns == [*edge.columns, "_n_entities", "_kinds"]  # edge has columns of these names
+    rows = got.collect()
+    assert {(r.doc_id, r.text) for r in rows} == {(r[0], r[1]) for r in ROWS}  # nothing personal: unchanged
+    assert {(r.n_entities, r.kinds, r._m) for r in rows} == {(7, "own", "own")}
+    assert pii.replaced(edge.select("doc_id", "text"), "k").columns == ["doc_id", "text", "n_entities", "kinds"]
     assert got.count() == N
     assert pii.replaced(empty, "k").collect() == []
 
