@@ -35,7 +35,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_sampling.sample(documents(spark, sf_dir), k=SAMPLES, alpha=ALPHA, with_ids=False)
+    return sp_sampling.sample(documents(spark, sf_dir), k=SAMPLES, alpha=ALPHA)
 
 
 def held_out(divisor: int, rest: int) -> Column:

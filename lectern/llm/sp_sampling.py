@@ -6,7 +6,7 @@ backward sums of the lattice give each subtree's total probability, so the pertu
 drawn before it is opened and is an exact bound for it. Opening the best subtree draws its best leaf step by step; what
 hangs off that path beside it are the new subtrees, their maxima drawn below the leaf's value.
 
-All texts of a batch are searched together in arrays. Random numbers are hashes of (seed, row key, sample, place), so
+All texts of a batch are searched together in arrays; chunks that a worker has met keep their lattice. Random numbers are hashes of (seed, row key, sample, place), so
 a row's samples depend on nothing but its key, its text and the seed.
 
 Each sample has its log probability under the model and its log inclusion score log(1 - exp(-exp(log_p - t))), where t
@@ -19,12 +19,12 @@ piece are spelled in byte pieces, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
 BATCH_CHARS = 400_000
+#: Lattice edges that a worker remembers, at about 35 bytes each.
+REMEMBERED = 5_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,34 +53,67 @@ def _uniform(seed: np.ndarray, *places) -> np.ndarray:
 
 
 class _Steps:
-    """The lattice of a batch's distinct chunks as a table of conditional step probabilities."""
+    """The lattices of all chunks met so far as one table of conditional step probabilities, added to batch by batch.
 
-    def __init__(self, vocab: Vocabulary, chunks: list[str], alpha: float):
-        lattice = Lattice(vocab, chunks)
-        weight = alpha * lattice.weights(vocab.log_p, vocab.byte_log_p)
+    A chunk's rows hold only its own numbers, so they are the same whatever stands before them.
+    """
+
+    def __init__(self, vocab: Vocabulary, alpha: float):
+        self.vocab, self.alpha = vocab, alpha
+        self.index: dict[str, int] = {}
+        self.n_edges = self.n_runs = self.n_nodes = self.n_chunks = 0
+        for name, kind in (("stop", np.int32), ("piece", np.int32), ("upto", float), ("p", float), ("runs", np.int32), ("sizes", np.int32), ("node", np.int32), ("first", np.int32)):
+            setattr(self, name, np.zeros(REMEMBERED + 1024, dtype=kind))  # pages that nothing is written to take no memory
+
+    def _append(self, name: str, n: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if n + len(values) > len(held):
+            held = np.concatenate([held[:n], np.zeros(max(len(held), len(values)), dtype=held.dtype)])
+            setattr(self, name, held)
+        held[n : n + len(values)] = values
+
+    def add(self, chunks: list[str]) -> None:
+        """The rows of chunks that are new."""
+        new = [c for c in chunks if c not in self.index]
+        if not new:
+            return
+        lattice = Lattice(self.vocab, new)
+        weight = self.alpha * lattice.weights(self.vocab.log_p, self.vocab.byte_log_p)
         beta, order, runs = lattice.sums(weight, forward=False)
-        start, self.stop, self.piece = lattice.start[order], lattice.stop[order], lattice.piece[order]
-        p = np.exp(weight[order] + beta[self.stop] - beta[start])
+        start, stop = lattice.start[order], lattice.stop[order]
+        p = np.exp(weight[order] + beta[stop] - beta[start])
         sizes = np.diff(np.r_[runs, len(order)])
-        total = np.add.reduceat(p, runs)
-        p /= np.repeat(total, sizes)
-        upto = np.cumsum(p)
-        within = upto - np.repeat(upto[runs] - p[runs], sizes)
-        run = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
-        self.upto = np.minimum(within, 1.0)
-        self.upto[runs + sizes - 1] = 1.0
-        self.runs, self.sizes, self.p, self.run = runs.astype(np.int32), sizes, p, run
-        single = np.repeat(sizes == 1, sizes)
+        p /= np.repeat(np.add.reduceat(p, runs), sizes)
+        upto = p.copy()
+        for j in range(1, int(sizes.max())):  # sums within each run, free of what stands before it
+            at = runs[sizes > j] + j
+            upto[at] += upto[at - 1]
+        upto = np.minimum(upto, 1.0)
+        upto[runs + sizes - 1] = 1.0
+        node = np.full(lattice.nodes, -1, dtype=np.int32)  # run of edges that leave a node; -1 at a chunk's end
+        node[start[runs]] = self.n_runs + np.arange(len(runs), dtype=np.int32)
+        for name, values in (("stop", stop + self.n_nodes), ("piece", lattice.piece[order]), ("upto", upto), ("p", p)):
+            self._append(name, self.n_edges, values)
+        self._append("runs", self.n_runs, runs + self.n_edges)
+        self._append("sizes", self.n_runs, sizes)
+        self._append("node", self.n_nodes, node)
+        self._append("first", self.n_chunks, node[lattice.first])
+        self.index.update(zip(new, range(self.n_chunks, self.n_chunks + len(new)), strict=True))
+        self.n_edges, self.n_runs, self.n_nodes, self.n_chunks = self.n_edges + len(p), self.n_runs + len(runs), self.n_nodes + lattice.nodes, self.n_chunks + len(new)
+
+    def run_of(self, e: np.ndarray) -> np.ndarray:
+        """The run that each edge stands in."""
+        return np.searchsorted(self.runs[: self.n_runs], np.asarray(e, dtype=np.int32), side="right") - 1
+
+    def logs(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of edges, and of all other edges of their runs together."""
+        p = self.p[edges]
+        rest = 1.0 - p
+        for i in np.flatnonzero((p > 1 - 1e-9) & (p < 1)):  # too near 1 for a difference
+            r = int(self.run_of(edges[i]))
+            rest[i] = sum(self.p[j] for j in range(self.runs[r], self.runs[r] + self.sizes[r]) if j != edges[i])
         with np.errstate(divide="ignore"):
-            self.log_p = np.where(single, 0.0, np.log(p))
-            rest = np.where(single, 0.0, 1.0 - p)
-            for e in np.flatnonzero(~single & (p > 1 - 1e-9)):
-                a, n = runs[run[e]], sizes[run[e]]
-                rest[e] = sum(p[i] for i in range(a, a + n) if i != e)
-            self.log_rest = np.log(rest)
-        self.node = np.full(lattice.nodes, -1, dtype=np.int32)  # run of edges that leave a node; -1 at a chunk's end
-        self.node[start[runs]] = np.arange(len(runs))
-        self.first = self.node[lattice.first]
+            return np.log(p), np.log(rest)
 
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Sampled edges from each node to its chunk's end, and which start each belongs to, step by step."""
@@ -100,6 +135,18 @@ class _Steps:
         return walks, edges
 
 
+_tables: dict[tuple[Vocabulary, float], _Steps] = {}
+
+
+def _table(vocab: Vocabulary, alpha: float) -> _Steps:
+    """The table of this worker; a new one when it has grown to REMEMBERED edges."""
+    held = _tables.get((vocab, alpha))
+    if held is None or held.n_edges > REMEMBERED:
+        _tables.clear()
+        held = _tables[vocab, alpha] = _Steps(vocab, alpha)
+    return held
+
+
 class _Path:
     """One sample of every text: edges in text order, the occurrence and the text of each."""
 
@@ -111,11 +158,13 @@ class _Path:
 def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: int, alpha: float):
     """For each sample rank: (text index, path, log p, perturbed value); and the first value left out of each text."""
     split = [vocab.chunks(t) for t in texts]
-    index: dict[str, int] = defaultdict(count().__next__)
-    occ_chunk = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+    steps = _table(vocab, alpha)
+    here: dict[str, int] = defaultdict(count().__next__)
+    occ_chunk = np.fromiter(map(here.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+    steps.add(list(here))
+    occ_chunk = np.fromiter(map(steps.index.__getitem__, here), dtype=np.int64, count=len(here))[occ_chunk]
     per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     n = len(texts)
-    steps = _Steps(vocab, list(index), alpha)
     occ_text = np.repeat(np.arange(n, dtype=np.int32), per_text)
     occ_begin = np.cumsum(per_text) - per_text
     occ_place = np.arange(len(occ_text)) - occ_begin[occ_text]
@@ -168,7 +217,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
                     e = int(p.edges[at])
                     known = forbidden[q].get(t)
                     tried = [*known[1], e] if known and known[0] == level[t] else [e]
-                    r = steps.run[e]
+                    r = int(steps.run_of(e))
                     a = steps.runs[r]
                     open_ = [i for i in range(a, a + steps.sizes[r]) if i not in tried]
                     left = sum(steps.p[i] for i in open_)
@@ -194,7 +243,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
             from_level = level
         paths.append(path)
         forbidden.append({t: (lv, tried) for t, (lv, tried, _) in closed.items()})
-        step_log = steps.log_p[path.edges]
+        step_log, rest_log = steps.logs(path.edges)
         upto = np.cumsum(step_log)
         before = upto - step_log
         base = np.zeros(n)
@@ -204,7 +253,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
         total[has] = upto[path.begin[1:][has] - 1] - base[has]
         results.append((np.flatnonzero(alive & has), path, total, value.copy()))
         rank = np.arange(len(path.edges)) - path.begin[path.text]
-        off = steps.log_rest[path.edges].copy()
+        off = rest_log
         for t, (lv, _, rest) in closed.items():
             off[path.begin[t] + lv] = rest
         where = before - base[path.text] + off
@@ -271,18 +320,17 @@ def gives_back(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray, texts: lis
     return np.array([whole[a + 1 : b] == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)], dtype=bool)
 
 
-def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model_file: str = DEFAULT_MODEL, with_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, carried columns, sample, ids (or their digest), n_pieces, log_p, log_inclusion, decoded.
+def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model_file: str = DEFAULT_MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, sample, ids, n_pieces, log_p, log_inclusion, decoded.
 
     decoded tells that the ids give back the text.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), *carry, "text").where("text <> ''")
-    ids_type = "ids array<int>" if with_ids else "ids_crc32 long"
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in narrow.schema if f.name in carry)
+    names = ["doc_id", *carry, "sample", "ids", "n_pieces", "log_p", "log_inclusion", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file)
-        names = ["doc_id", *carry, "sample", "ids" if with_ids else "ids_crc32", "n_pieces", "log_p", "log_inclusion", "decoded"]
         for batch in batches:
             column = batch.column("text")
             sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + len(column) + 1])
@@ -294,11 +342,39 @@ def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model
                 for rank, (who, ids, begin, log_p, inclusion) in enumerate(samples(vocab, texts, keys, k, seed, alpha)):
                     decoded = gives_back(vocab, ids, begin, texts)
                     rows, lengths = part.take(pa.array(who, pa.int64())), np.diff(begin)[who]
-                    if with_ids:
-                        shown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.concatenate([ids[:0], *[ids[begin[t] : begin[t + 1]] for t in who]])))
-                    else:
-                        shown = pa.array([zlib.crc32(ids[begin[t] : begin[t + 1]].tobytes()) for t in who], pa.int64())
+                    chosen = ids if len(who) == len(texts) else np.concatenate([ids[:0], *[ids[begin[t] : begin[t + 1]] for t in who]])
+                    shown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(chosen))
                     columns = [rows.column("doc_id"), *(rows.column(c) for c in carry), pa.array(np.full(len(who), rank), pa.int32()), shown, pa.array(lengths, pa.int32()), pa.array(log_p[who], pa.float64()), pa.array(inclusion[who], pa.float64()), pa.array(decoded[who], pa.bool_())]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return narrow.mapInArrow(run, f"doc_id long, {kept}sample int, {ids_type}, n_pieces int, log_p double, log_inclusion double, decoded boolean")
+    return narrow.mapInArrow(run, f"doc_id long, {kept}sample int, ids array<int>, n_pieces int, log_p double, log_inclusion double, decoded boolean")
+
+
+def texts_of(vocab: Vocabulary, lists: pa.ListArray) -> list[str | None]:
+    """The text of each list of piece ids; null for a null list and one that holds a null or an id that is no piece."""
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[0, np.cumsum(lengths)]
+    known = (ids >= 0) & (ids < vocab.size)
+    bad = np.r_[0, np.cumsum(~known)]
+    ids = np.where(known, ids, 0)
+    whole, at = vocab.raw(ids).tobytes(), np.r_[0, np.cumsum(vocab.byte_length[ids])][ends]
+    out: list[str | None] = []
+    for i, (a, b, none) in enumerate(zip(at[:-1], at[1:], lists.is_null().to_pylist(), strict=True)):
+        text = whole[a:b].decode("utf-8", errors="replace")
+        out.append(None if none or bad[ends[i + 1]] > bad[ends[i]] else text[1:] if text.startswith(" ") else text)
+    return out
+
+
+def decode(encoded: DataFrame, ids: str = "ids", into: str = "text", model_file: str = DEFAULT_MODEL) -> DataFrame:
+    """encoded with the texts of its lists of piece ids in a column of their own; all other columns stay.
+
+    Null lists, and lists with a null or an id that is no piece, give null; an empty list gives the empty text; an
+    existing column of that name is replaced.
+    """
+
+    @F.pandas_udf("string")
+    def texts(lists: pd.Series) -> pd.Series:
+        return pd.Series(texts_of(vocabulary(model_file), pa.array(lists, pa.list_(pa.int32()), from_pandas=True)), dtype=object)
+
+    return encoded.withColumn(into, texts(F.col(ids).cast("array<int>")))

@@ -307,6 +307,26 @@ def test_round_trip_and_batches(docs):
     assert len(alone) == len(together)
 
 
+def test_decoding_gives_back_every_sampled_text(spark, corpus, docs):
+    encoded = queries.op4_sentencepiece(spark, corpus)
+    got = sp_sampling.decode(encoded.select("doc_id", "ids")).collect()
+    text = {d: t for d, t, *_ in docs}
+    assert all(r.text == text[r.doc_id] for r in got) and {r.doc_id for r in got} == set(text)
+    odd = spark.createDataFrame([(1, None, "old"), (2, [], "old"), (3, [5, None], "old"), (4, [10**6], "old"), (5, [-3], "old")], "doc_id long, ids array<int>, text string")
+    assert {r.doc_id: r.text for r in sp_sampling.decode(odd).collect()} == {1: None, 2: "", 3: None, 4: None, 5: None}
+
+
+def test_samples_do_not_depend_on_what_a_worker_remembers(docs, monkeypatch):
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    texts = [t for _, t, *_ in docs][:30]
+    run = lambda xs: list(sp_sampling.segment(vocab, xs, list(range(len(xs))), 2, alpha=0.5))
+    warm = run(texts)
+    sp_sampling._tables.clear()
+    cold = run(texts)
+    monkeypatch.setattr(sp_sampling, "REMEMBERED", 0)
+    assert run(texts) == cold == warm
+
+
 # --- language
 
 
