@@ -34,7 +34,7 @@ from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
 BATCH_CHARS = 400_000
 #: Lattice edges that a worker remembers, at about 35 bytes each.
-REMEMBERED = 5_000_000
+REMEMBERED = 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ class _Steps:
         self.vocab, self.alpha = vocab, alpha
         self.index: dict[str, int] = {}
         self.n_edges = self.n_runs = self.n_nodes = self.n_chunks = 0
-        for name, kind in (("stop", np.int32), ("piece", np.int32), ("upto", float), ("p", float), ("runs", np.int32), ("sizes", np.int32), ("node", np.int32), ("first", np.int32)):
+        for name, kind in (("stop", np.int32), ("piece", np.int32), ("upto", float), ("p", float), ("runs", np.int32), ("sizes", np.int32), ("node", np.int32), ("begin", np.int32), ("length", np.int32), ("batches", np.int32)):
             setattr(self, name, np.zeros(REMEMBERED + 1024, dtype=kind))  # pages that nothing is written to take no memory
 
     def _append(self, name: str, n: int, values: np.ndarray) -> None:
@@ -97,10 +97,39 @@ class _Steps:
         self._append("runs", self.n_runs, runs + self.n_edges)
         self._append("sizes", self.n_runs, sizes)
         self._append("node", self.n_nodes, node)
-        self._append("first", self.n_chunks, node[lattice.first])
+        self._append("begin", self.n_chunks, lattice.first + self.n_nodes)
+        self._append("length", self.n_chunks, lattice.last - lattice.first + 1)
+        self._append("batches", self.n_chunks, np.zeros(len(new), dtype=np.int32))
         self.index.update(zip(new, range(self.n_chunks, self.n_chunks + len(new)), strict=True))
         self.n_edges, self.n_runs, self.n_nodes, self.n_chunks = self.n_edges + len(p), self.n_runs + len(runs), self.n_nodes + lattice.nodes, self.n_chunks + len(new)
 
+    def shrunk(self) -> _Steps:
+        """A new table of the chunks that several batches had, the most used first, of at most half the size."""
+        out = _Steps(self.vocab, self.alpha)
+        names = list(self.index)
+        order = np.argsort(-self.batches[: self.n_chunks], kind="stable")
+        order = order[(self.batches[order] > 1) & (np.cumsum(self.length[order], dtype=np.int64) < REMEMBERED // 8)]
+        if not len(order):
+            return out
+        length = self.length[order]
+        out.n_chunks, out.n_nodes = len(order), int(length.sum())
+        begin = np.cumsum(length) - length
+        shift = begin - self.begin[order]
+        old = np.arange(out.n_nodes) - np.repeat(shift, length)
+        run = self.node[old]
+        inner = np.flatnonzero(run >= 0)
+        sizes = self.sizes[run[inner]]
+        out.n_runs, out.n_edges = len(inner), int(sizes.sum())
+        runs = np.cumsum(sizes) - sizes
+        edges = np.arange(out.n_edges) + np.repeat(self.runs[run[inner]] - runs, sizes)
+        node = np.full(out.n_nodes, -1, dtype=np.int32)
+        node[inner] = np.arange(out.n_runs)
+        moved = np.repeat(np.repeat(shift, length)[inner], sizes)  # a chunk's nodes move together
+        for name, values in (("stop", self.stop[edges] + moved), ("piece", self.piece[edges]), ("upto", self.upto[edges]), ("p", self.p[edges]), ("runs", runs), ("sizes", sizes), ("node", node), ("begin", begin), ("length", length), ("batches", self.batches[order] // 2)):
+            out._append(name, 0, values)
+        out.index = {names[i]: k for k, i in enumerate(order)}
+        return out
+
     def run_of(self, e: np.ndarray) -> np.ndarray:
         """The run that each edge stands in."""
         return np.searchsorted(self.runs[: self.n_runs], np.asarray(e, dtype=np.int32), side="right") - 1
@@ -139,12 +168,12 @@ _tables: dict[tuple[Vocabulary, float], _Steps] = {}
 
 
 def _table(vocab: Vocabulary, alpha: float) -> _Steps:
-    """The table of this worker; a new one when it has grown to REMEMBERED edges."""
+    """The table of this worker; a smaller one when it has grown to REMEMBERED edges."""
     held = _tables.get((vocab, alpha))
     if held is None or held.n_edges > REMEMBERED:
         _tables.clear()
-        held = _tables[vocab, alpha] = _Steps(vocab, alpha)
-    return held
+        _tables[vocab, alpha] = held.shrunk() if held else _Steps(vocab, alpha)
+    return _tables[vocab, alpha]
 
 
 class _Path:
@@ -162,7 +191,9 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
     here: dict[str, int] = defaultdict(count().__next__)
     occ_chunk = np.fromiter(map(here.__getitem__, chain.from_iterable(split)), dtype=np.int64)
     steps.add(list(here))
-    occ_chunk = np.fromiter(map(steps.index.__getitem__, here), dtype=np.int64, count=len(here))[occ_chunk]
+    held = np.fromiter(map(steps.index.__getitem__, here), dtype=np.int64, count=len(here))
+    steps.batches[held] += 1
+    occ_first = steps.node[steps.begin[held]][occ_chunk]
     per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     n = len(texts)
     occ_text = np.repeat(np.arange(n, dtype=np.int32), per_text)
@@ -192,7 +223,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
     for sample in range(k):
         closed: dict[int, tuple[int, list[int], float]] = {}
         if sample == 0:
-            walks, edges = steps.walk(steps.first[occ_chunk], _mix(root)[occ_text], occ_place)
+            walks, edges = steps.walk(occ_first, _mix(root)[occ_text], occ_place)
             path = complete(walks, edges, none, none)
             from_level = np.zeros(n, dtype=np.int64)
         else:
@@ -237,7 +268,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
             if alt_o:
                 branch[occ_text[np.array(alt_o)]] = alt_o
             later = np.arange(len(occ_chunk)) > branch[occ_text]
-            node[later] = steps.first[occ_chunk[later]]
+            node[later] = occ_first[later]
             walks, edges = steps.walk(node, _mix(root ^ np.uint64(sample))[occ_text], occ_place)
             path = complete(walks, edges, np.concatenate([*keep_e, np.array(alt_e, dtype=np.int64)]), np.concatenate([*keep_o, np.array(alt_o, dtype=np.int64)]))
             from_level = level

@@ -320,11 +320,19 @@ def test_samples_do_not_depend_on_what_a_worker_remembers(docs, monkeypatch):
     vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
     texts = [t for _, t, *_ in docs][:30]
     run = lambda xs: list(sp_sampling.segment(vocab, xs, list(range(len(xs))), 2, alpha=0.5))
+    run(texts[10:])
     warm = run(texts)
     sp_sampling._tables.clear()
     cold = run(texts)
-    monkeypatch.setattr(sp_sampling, "REMEMBERED", 0)
+    for part in (texts[:20], texts[:20], texts[5:28]):
+        run(part)
+    held = sp_sampling._tables[vocab, 0.5]
+    smaller = held.shrunk()
+    assert 100 < len(smaller.index) < len(held.index)
+    sp_sampling._tables[vocab, 0.5] = smaller
     assert run(texts) == cold == warm
+    monkeypatch.setattr(sp_sampling, "REMEMBERED", 0)
+    assert run(texts) == run(texts) == cold
 
 
 # --- language
