@@ -18,19 +18,20 @@ EDGE_MARKS = ".,;:!?\"'“”‘’()[]«»…-–—"
 BULLET = r"^[•●○◦▪‣–\-*]\s+"
 NUMBERED = r"^([0-9]{1,3}|[a-zA-Z]|[ivxlcdmIVXLCDM]{1,6})[.)]\s+"
 LEADER_LINE = r"(?:[.…·•‧∙⋅_]\s*){4,}\s*[0-9]{1,4}\s*$"
-TOC_TITLE = r"(?i)^\s*(?:içindekiler|contents|table of contents|inhalt|inhaltsverzeichnis|sommaire|table des matières|índice|indice|sommario)\s*$"
-CAPTION = r"(?i)^\s*(?:tablo|şekil|figure|table|abbildung|tabelle|figura|tabla|tableau)\s+[0-9IVX]+(?:[.\-][0-9]+)*\s*[:.\-–—]"
-DIVISION_WORD = r"(?i)^\s*(?:chapter|part|book|section|kapitel|teil|abschnitt|chapitre|partie|capítulo|parte|capitolo|bölüm|kısım)\b"
-BARE_NUMBER = r"(?i)^\s*([0-9]{1,3}|[ivxlcdm]{1,7})\s*[.)]?\s*$"
-NUMBERED_TITLE = r"(?i)^\s*(?:(?:chapter|part|book|section|kapitel|teil|abschnitt|chapitre|partie|capítulo|parte|capitolo|bölüm|kısım)\s+)?([0-9]{1,3}|[ivxlcdm]{1,7})\s*[.):—–\-]\s*\S"
+TOC_TITLE = r"(?iu)^\s*(?:içindekiler|icindekiler|contents|table of contents|inhalt|inhaltsverzeichnis|sommaire|table des matières|índice|indice|sommario|المحتويات|فهرس)\s*(?:tablosu)?\s*$"
+CAPTION = r"(?iu)^\s*(?:tablo|şekil|sekil|resim|grafik|çizelge|cizelge|figure|fig\.|table|chart|plate)\s*[0-9]{1,3}\s*[:.\-–—]"
+DIVISION_WORDS = "bölüm|kısım|kitap|fasıl|chapter|part|book|section|kapitel|teil|abschnitt|chapitre|partie|capítulo|parte|capitolo|الفصل|الباب"
+DIVISION_WORD = rf"(?iu)^\s*(?:{DIVISION_WORDS})(?![\p{{L}}\p{{N}}_])"
+BARE_NUMBER = r"(?iu)^\s*([0-9]{1,3}|[ivxlcdm]{1,7})\s*[.)]?\s*$"
+NUMBERED_TITLE = rf"(?iu)^\s*(?:(?:{DIVISION_WORDS})\s+)?([0-9]{{1,3}}|[ivxlcdm]{{1,7}})\s*[.):—–\-]\s*\S"
 SECTION_NUMBER = r"^\s*([0-9]{1,3}(?:\.[0-9]{1,3})*)\.?\s*[^0-9]"
 URL = r"(?i)^(https?://|www\.)|\.(com|org|net|io|co)\b"
 OPENS_AS_QUOTE = r"""^\s*[«"“”'‘’]"""
-BIBLIOGRAPHY_TITLE = r"(?i)^\s*(?:[0-9]{1,3}(?:\.[0-9]{1,3})*\.?\s*)?(?:kaynakça|kaynaklar|references|bibliography|works cited|sources|literatur|literaturverzeichnis|bibliographie|références|referencias|bibliografía|bibliografia)\s*:?\s*$"
+BIBLIOGRAPHY_TITLE = r"(?iu)^\s*(?:[0-9]{1,3}(?:\.[0-9]{1,3})*\.?\s*)?(?:kaynak[çc]a|kaynaklar|yararlan[ıi]lan kaynaklar|bibliyografya|referanslar|references|bibliography|works cited|literature cited|sources|literatur|literaturverzeichnis|bibliographie|références|referencias|bibliografía|bibliografia|riferimenti bibliografici|المراجع|المصادر)\s*:?\s*$"
 NUMBERED_ENTRY = r"^\s*(?:\[[0-9]{1,3}\]|\([0-9]{1,3}\)|[0-9]{1,3}[.)])\s+\S"
 LINK_LINE = r"(?i)^\s*(?:https?://|www\.|doi\s*:|dx\.doi)"
-ENDNOTE_HEADING = r"(?i)^\s*(notes?|endnotes?|notes to (chapter|pages?).*|chapter notes|notlar|dipnotlar|sonnotlar|anmerkungen|notas)\s*$"
-CHAPTER_SCOPE = r"(?i)^\s*(?:notes\s+to\s+)?(?:chapter|bölüm|kapitel|chapitre)\s+([0-9ivxlc]+)\b.*$"
+ENDNOTE_HEADING = r"(?iu)^\s*(notes?|endnotes?|notes to (chapter|pages?).*|chapter notes|notlar|dipnotlar|sonnotlar|anmerkungen|notas)\s*$"
+CHAPTER_SCOPE = r"(?iu)^\s*(?:notes\s+to\s+)?(?:chapter|bölüm|kapitel|chapitre)\s+([0-9ivxlc]+)\b.*$"
 NOTE_ENTRY = r"^\s*([0-9]{1,4}|[*†‡§¶#]{1,3})[.)\]]?\s+(.+)$"
 MARKER = r"^[\[({<]?\s*([0-9]{1,3}|[*†‡§¶#]{1,3})\s*[\])}>]?\s*[.:)]?$"
 PAGE_NUMBER = r"""^[\-–—•·∙*.,:;'"\x{0060}´^~_|°‹›<>«»()\[\]\s]*[0-9][0-9\s]{0,5}[\-–—•·∙*.,:;'"\x{0060}´^~_|°‹›<>«»()\[\]\s]*$"""

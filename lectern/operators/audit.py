@@ -11,6 +11,7 @@ from ..functions import text as T
 # What each defect costs a reader.
 WEIGHTS = {"broken": 3, "hyphen": 1, "junk": 2, "furniture": 3, "ocr": 1, "glued": 1, "split": 1, "chars": 2, "headings": 3, "pictures": 5}
 REPEATED_LINE, LINE_MIN, LINE_MAX = 4, 4, 60
+PICTURE_PIXELS, PICTURE_ASPECT = 600_000, 0.04
 
 
 def lone_letters(text: Column) -> Column:
@@ -19,10 +20,21 @@ def lone_letters(text: Column) -> Column:
     return F.size(F.filter(F.split(text, " "), lambda t: core(t).rlike(r"^\p{Ll}$") & ~core(t).isin(*T.LETTER_WORDS))).cast("long")
 
 
-def audit(nodes: DataFrame) -> DataFrame:
+def page_pictures(images: DataFrame) -> DataFrame:
+    """Pictures of whole pages, which should have been text: large ones of the page's shape, the cover aside.
+
+    images: book, width, height (pixels), page_aspect (null: unknown, so none is counted), cover.
+    """
+    shape = F.col("width") / F.col("height")
+    whole = (F.col("width") * F.col("height") > PICTURE_PIXELS) & (F.abs(shape - F.col("page_aspect")) < F.col("page_aspect") * PICTURE_ASPECT) & ~F.coalesce("cover", F.lit(False))
+    return images.groupBy("book").agg(F.sum(F.when(whole, 1).otherwise(0)).cast("long").alias("pictures"))
+
+
+def audit(nodes: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """One row per book: words, ten defect counts, their weighted sum and its index per thousand words.
 
-    nodes: book, seq, tag (p, li, h1 to h4), text (one line, not empty), in reading order by seq.
+    nodes: book, seq, tag (p, li, h1 to h4), text (one line, not empty), in reading order by seq; with a column `before`
+    (the paragraph before, null if another tag) no order is taken again. images: as page_pictures takes them.
     """
     order = Window.partitionBy("book").orderBy("seq")
     text, heading = F.col("text"), F.col("tag").startswith("h")
@@ -31,7 +43,7 @@ def audit(nodes: DataFrame) -> DataFrame:
     lower = text.rlike(r"^\p{Ll}")
     folio = text.rlike(T.FOLIO)
     junk = (letters <= 2) | ((F.length(text) <= 25) & (2 * letters < solid))
-    seen = nodes.withColumn("before", F.lag(F.when(F.col("tag") == "p", text)).over(order))
+    seen = nodes if "before" in nodes.columns else nodes.withColumn("before", F.lag(F.when(F.col("tag") == "p", text)).over(order))
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     body = lambda c: F.when(heading, 0).otherwise(c).cast("long")
     marked = seen.select(
@@ -47,7 +59,10 @@ def audit(nodes: DataFrame) -> DataFrame:
     repeated = short.groupBy("book", "line").count().where((F.col("count") >= REPEATED_LINE) & (F.length("line") >= LINE_MIN) & ~F.col("line").rlike(T.FOLIO))
     extra = repeated.groupBy("book").agg(F.sum(F.col("count") - 1).alias("extra"))
     joined = sums.join(extra, "book", "left").withColumn("furniture", F.col("furniture") + F.coalesce("extra", F.lit(0))).drop("extra")
-    joined = joined.withColumn("pictures", F.lit(0).cast("long"))
+    if images is None:
+        joined = joined.withColumn("pictures", F.lit(0).cast("long"))
+    else:
+        joined = joined.join(page_pictures(images), "book", "left").withColumn("pictures", F.coalesce("pictures", F.lit(0)))
     cost = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0))
     return joined.withColumn("cost", cost.cast("long")).withColumn("defect_index", F.bround(F.col("cost") * 1000.0 / F.greatest("words", F.lit(1)), 6))
 

@@ -227,7 +227,8 @@ Provider = Callable[[list[dict]], list[dict]]
 
 
 def reviewed_by(requests: DataFrame, provider: Provider, batch: int = 8) -> DataFrame:
-    """Opinions of an outside reviewer, asked in batches; it may answer fewer, and failures give none.
+    """Opinions of an outside reviewer, asked in batches; it may answer fewer. A batch that fails gives a row for each of
+    its requests with the error instead of an opinion, so failures can be counted.
 
     requests: doc_id, seq, role, text, confidence. An answer holds doc_id, seq, role and confidence, never text.
     """
@@ -240,12 +241,12 @@ def reviewed_by(requests: DataFrame, provider: Provider, batch: int = 8) -> Data
             for a in range(0, len(rows), batch):
                 try:
                     answers = provider([{**r, "text": (r["text"] or "")[:400]} for r in rows[a : a + batch]])
-                except Exception:
-                    answers = []
-                out += [(x["doc_id"], x["seq"], x["role"], float(x["confidence"])) for x in answers if x.get("role") in roles and 0 <= float(x.get("confidence", -1)) <= 1]
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "new_role", "new_confidence"])
+                    out += [(x["doc_id"], x["seq"], x["role"], float(x["confidence"]), None) for x in answers if x.get("role") in roles and 0 <= float(x.get("confidence", -1)) <= 1]
+                except Exception as error:  # whatever an outside program raises or answers
+                    out += [(r["doc_id"], r["seq"], None, None, f"{type(error).__name__}: {error}") for r in rows[a : a + batch]]
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "new_role", "new_confidence", "error"])
 
-    return requests.select("doc_id", "seq", "role", "text", "confidence").mapInPandas(ask, "doc_id long, seq long, new_role string, new_confidence double")
+    return requests.select("doc_id", "seq", "role", "text", "confidence").mapInPandas(ask, "doc_id long, seq long, new_role string, new_confidence double, error string")
 
 
 def resolved_provider(name: Column, has_key: Column) -> Column:

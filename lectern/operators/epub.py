@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import html
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BLOCKS, ENCLOSING = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"), ("li", "table", "nav", "aside")
 NODE = "array<struct<seq:long,role:string,level:int,text:string,chapter:long>>"
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 _CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
@@ -73,24 +77,55 @@ def packages(nodes: DataFrame) -> DataFrame:
     return books.mapInPandas(pack, "doc_id long, epub binary")
 
 
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+
+
+def _spine(z: zipfile.ZipFile) -> Iterator[str]:
+    """The names of an EPUB's chapters in reading order, by way of its container and package files."""
+    container = ElementTree.fromstring(z.read("META-INF/container.xml"))
+    opf = next(e.attrib["full-path"] for e in container.iter() if _local(e) == "rootfile")
+    package = ElementTree.fromstring(z.read(opf))
+    items = {e.attrib["id"]: e.attrib["href"] for e in package.iter() if _local(e) == "item"}
+    for e in package.iter():
+        if _local(e) == "itemref":
+            yield posixpath.normpath(posixpath.join(posixpath.dirname(opf), unquote(items[e.attrib["idref"]].partition("#")[0])))
+
+
+def _blocks(element: ElementTree.Element, enclosed: bool = False) -> Iterator[tuple[str, str]]:
+    """(tag, text) of headings, paragraphs and list items that no list item, table, nav or aside encloses."""
+    name = _local(element)
+    if name in BLOCKS and not enclosed:
+        yield name, " ".join("".join(element.itertext()).split())
+    for child in element:
+        yield from _blocks(child, enclosed or name in ENCLOSING)
+
+
 def read_back(books: DataFrame) -> DataFrame:
-    """Nodes of EPUB files in spine order: doc_id, seq, tag, text. books: doc_id, epub."""
-    block = re.compile(r"<(h[1-6]|p|li)\b[^>]*>(.*?)</\1>", re.S)
-    href = re.compile(r'<item id="([^"]+)" href="([^"]+)"')
-    ref = re.compile(r'<itemref idref="([^"]+)"')
+    """Nodes of EPUB files in spine order: doc_id, seq, tag, text, error. books: doc_id, epub.
+
+    Any container and package layout is followed. A file that is no EPUB, or breaks off, gives the nodes up to there and
+    one row with the error; a null file gives an error row.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc_id, raw in zip(pdf["doc_id"], pdf["epub"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    opf = z.read("OEBPS/content.opf").decode()
-                    names = dict(href.findall(opf))
-                    seq = 0
-                    for item in ref.findall(opf):
-                        for tag, inner in block.findall(z.read(f"OEBPS/{names[item]}").decode()):
-                            out.append((doc_id, seq, tag, html.unescape(re.sub("<[^>]*>", "", inner))))
-                            seq += 1
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "tag", "text"])
-
-    return books.mapInPandas(unpack, "doc_id long, seq long, tag string, text string")
+                seq = 0
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+                        for name in _spine(z):
+                            for tag, text in _blocks(ElementTree.fromstring(_plain_entities(z.read(name)))):
+                                out.append((doc_id, seq, tag, text, None))
+                                seq += 1
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, RuntimeError, UnicodeDecodeError) as error:
+                    out.append((doc_id, seq, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "tag", "text", "error"])
+
+    return books.mapInPandas(unpack, "doc_id long, seq long, tag string, text string, error string")
+
+
+def _plain_entities(raw: bytes) -> bytes:
+    """A chapter with its named entities as characters, as XML knows five of them only."""
+    return re.sub(r"&(?!amp;|lt;|gt;|quot;|apos;|#)([A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m[0]), raw.decode("utf-8-sig")).encode()

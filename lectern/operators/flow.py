@@ -116,7 +116,13 @@ def verse_runs(blocks: DataFrame) -> DataFrame:
                 a += 1
         return pd.DataFrame(out, columns=["doc_id", "page", "first_line", "last_line", "lines"])
 
-    return blocks.select("doc_id", "page", "i", "text", "x0", "x1", "y0", "y1", "font_size").groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page long, first_line long, last_line long, lines long")
+    # Verse has three short lines at least, none of them empty, long in words, or numbered: other pages stay out of Python.
+    rows = blocks.select("doc_id", "page", "i", "text", "x0", "x1", "y0", "y1", "font_size")
+    t = F.trim("text")
+    fit = (t != "") & (F.size(F.split(t, r"\s+")) <= 14) & ~t.rlike("^[0-9]") & ~F.contains(t, F.lit("|"))
+    page = rows.groupBy("doc_id", "page").agg(F.min("x0").alias("l"), F.max("x1").alias("r"), F.collect_list(F.when(fit, F.col("x1") - F.col("x0"))).alias("widths"))
+    few = page.where(F.size(F.filter("widths", lambda w: w < SHORT_WIDTH * (F.col("r") - F.col("l")) + 1e-6)) >= VERSE_LINES).select("doc_id", "page")
+    return rows.join(few, ["doc_id", "page"], "left_semi").groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page long, first_line long, last_line long, lines long")
 
 
 def visual_lines(fragments: DataFrame) -> DataFrame:

@@ -60,17 +60,22 @@ def glyph_repairs(vocab: DataFrame, least: int = CANONICAL, most: int = 2) -> Da
     return best.select("doc_id", "word", "freq", F.col("b.candidate").alias("candidate"), F.col("b.candidate_freq").alias("candidate_freq"), F.bround(sure, 6).alias("confidence"))
 
 
-def adjacent_words(rows: DataFrame) -> DataFrame:
-    """doc_id, i, pos, left, right: letter words of a line that one space separates."""
-    token = rows.select("doc_id", "i", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    w = Window.partitionBy("doc_id", "i").orderBy("pos")
-    tail, head = F.regexp_extract("token", f"({T.LETTER}+)$", 1), F.regexp_extract(F.lead("token").over(w), f"^({T.LETTER}+)", 1)
-    return token.select("doc_id", "i", F.col("pos").cast("long"), tail.alias("left"), head.alias("right")).where("left <> '' and right <> ''")
+def adjacent_words(rows: DataFrame, longest: int = 10**6) -> DataFrame:
+    """doc_id, i, pos, left, right: letter words of a line that one space separates, the shorter of at most `longest`
+    letters. Neighbours are met inside the line's array, so no token is moved."""
+    split = rows.select("doc_id", "i", F.split("line", " ").alias("parts"))
+
+    def pair(token: Column, pos: Column) -> Column:
+        following = F.coalesce(F.get(F.col("parts"), pos + 1), F.lit(""))
+        return F.struct(pos.cast("long").alias("pos"), F.regexp_extract(token, f"({T.LETTER}+)$", 1).alias("left"), F.regexp_extract(following, f"^({T.LETTER}+)", 1).alias("right"))
+
+    near = F.filter(F.transform("parts", pair), lambda x: (x["left"] != "") & (x["right"] != "") & (F.least(F.length(x["left"]), F.length(x["right"])) <= longest))
+    return split.select("doc_id", "i", F.explode(near).alias("x")).select("doc_id", "i", "x.pos", "x.left", "x.right")
 
 
 def split_candidates(rows: DataFrame, vocab: DataFrame, least: int = CANONICAL) -> DataFrame:
     """Pairs of words that together are an established word, one half being a letter or two: accepted, or refused and why."""
-    pairs = adjacent_words(rows).where(F.least(F.length("left"), F.length("right")) <= STRAY)
+    pairs = adjacent_words(rows, STRAY)
     pairs = pairs.withColumn("joined", T.fold(F.concat("left", "right")))
     freq = lambda name: vocab.select("doc_id", F.col("word").alias(f"{name}_key"), F.col("freq").alias(f"{name}_freq"))
     known = pairs.withColumn("joined_key", F.col("joined")).join(freq("joined").where(F.col("joined_freq") >= least), ["doc_id", "joined_key"])

@@ -11,6 +11,7 @@ from ..operators import flow, repair
 from ..operators import layout as L
 from ..operators import structure as X
 from ..sources import corpus as C
+from . import fixtures as fx
 from . import sql as S
 
 QUERIES: dict = {}
@@ -42,7 +43,7 @@ def _audit_sql(nodes: str, tail: str = "SELECT * FROM audited", key: str = "book
     some = lambda p: f"CASE WHEN heading THEN 0 ELSE {S.count('text', p)} END"
     folio, lower = S.has("text", T.FOLIO), S.has("text", r"^\p{Ll}")
     return f"""WITH {nodes},
-seen AS (SELECT *, left(tag, 1) = 'h' AS heading, lag(CASE WHEN tag = 'p' THEN text END) OVER (PARTITION BY book ORDER BY seq) AS before,
+seen AS (SELECT *, left(tag, 1) = 'h' AS heading, lag(CASE WHEN tag = 'p' THEN text END) OVER (PARTITION BY book, seq // 1000000 ORDER BY seq) AS before,
   length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(replace(text, ' ', '')) AS solid FROM nodes),
 marked AS (SELECT book, text, heading, {S.count('text', T.WORD)} AS words,
   {one(f"before IS NOT NULL AND {lower} AND NOT ends_with(before, ':')")} AS broken, {some(T.HYPHEN_BREAK)} AS hyphen,
@@ -84,9 +85,8 @@ def _half(parity: int) -> str:
 @query(f"""SELECT n.book, n.defect, round_even(w.v, 6) AS was, round_even(n.v, 6) AS now, round_even(n.v, 6) > coalesce(round_even(w.v, 6), 0) AS worse
 FROM ({_half(1)}) n LEFT JOIN ({_half(0)}) w USING (book, defect)""")
 def audit_regression(spark, sf_dir):
-    """Even documents of a source as the audit before, odd ones as the audit now."""
-    rows = C.lines(docs(spark, sf_dir))
-    nodes = rows.select(F.col("source").alias("book"), (F.col("doc_id") * 1000000 + F.col("i")).alias("seq"), F.lit("p").alias("tag"), T.squeezed(F.col("line")).alias("text"), (F.col("doc_id") % 2).alias("half")).where("text <> ''")
+    """Even documents of a source as the audit before, odd ones as the audit now. A document's first paragraph has none before it."""
+    nodes = C.document_nodes(docs(spark, sf_dir), "source").select(F.col("source").alias("book"), "seq", "tag", "text", "before", (F.col("book") % 2).alias("half"))
     return A.regressions(A.audit(nodes.where("half = 0")), A.audit(nodes.where("half = 1")))
 
 
@@ -129,10 +129,10 @@ def glyph_repair_candidates(spark, sf_dir):
 
 
 _SPLITS = f"""{S.LINES}, {S.VOCABULARY},
-tokens AS (SELECT doc_id, i, unnest(range(len(parts)))::BIGINT AS pos, unnest(parts) AS token FROM (SELECT doc_id, i, string_split(line, ' ') AS parts FROM lines)),
-adjacent AS (SELECT doc_id, i, pos, regexp_extract(token, {S.q(f'({S.LETTER}+)$')}, 1) AS left_word,
-  coalesce(regexp_extract(lead(token) OVER (PARTITION BY doc_id, i ORDER BY pos), {S.q(f'^({S.LETTER}+)')}, 1), '') AS right_word FROM tokens),
-pairs AS (SELECT *, {S.fold('left_word || right_word')} AS joined FROM adjacent WHERE left_word <> '' AND right_word <> '' AND least(length(left_word), length(right_word)) <= 2),
+near AS (SELECT doc_id, i, unnest(list_filter(list_transform(range(1, len(parts)), lambda k: {{'pos': k - 1, 'l': regexp_extract(parts[k], {S.q(f'({S.LETTER}+)$')}, 1), 'r': regexp_extract(parts[k + 1], {S.q(f'^({S.LETTER}+)')}, 1)}}),
+  lambda x: x.l <> '' AND x.r <> '' AND least(length(x.l), length(x.r)) <= 2)) AS x FROM (SELECT doc_id, i, string_split(line, ' ') AS parts FROM lines)),
+shaped AS (SELECT doc_id, i, x.pos::BIGINT AS pos, x.l AS left_word, x.r AS right_word, {S.fold('x.l || x.r')} AS joined FROM near),
+pairs AS (SELECT * FROM shaped SEMI JOIN (SELECT doc_id, word AS joined FROM vocab WHERE freq >= 8) USING (doc_id, joined)),
 judged AS (SELECT p.doc_id, p.i, p.pos, p.left_word, p.right_word, p.joined, j.freq AS joined_freq, coalesce(l.freq, 0) AS lf, coalesce(r.freq, 0) AS rf
   FROM pairs p JOIN vocab j ON j.doc_id = p.doc_id AND j.word = p.joined AND j.freq >= 8
   LEFT JOIN vocab l ON l.doc_id = p.doc_id AND l.word = {S.fold('p.left_word')} LEFT JOIN vocab r ON r.doc_id = p.doc_id AND r.word = {S.fold('p.right_word')}),
@@ -258,3 +258,20 @@ _MINUTES = "(CASE WHEN strpos(url, '?') > 0 THEN left(url, strpos(url, '?') - 1)
 def formula_scores(spark, sf_dir):
     rows = C.lines(docs(spark, sf_dir)).select("doc_id", "i", X.formula_score(F.col("line")).alias("score"))
     return rows.where("score > 0")
+
+
+_TOLD = {1: "division", 2: "division", 3: "division", 4: "contents", 5: "contents", 6: "bibliography", 7: "caption", 8: "caption", 9: "caption", 10: "bibliography", 12: "division,numbered", 14: "bibliography", 16: "division"}
+
+
+@query(f"SELECT v.id::BIGINT AS id, v.told FROM (VALUES {', '.join(f'({i}, {S.q(_TOLD.get(i, str()))})' for i in range(1, 18))}) v(id, told)")
+def titles_in_capitals(spark, sf_dir):
+    """What divisions, contents, lists of sources and captions look like in capitals of several languages; the SQL states the answers."""
+    tests = {"division": T.DIVISION_WORD, "contents": T.TOC_TITLE, "bibliography": T.BIBLIOGRAPHY_TITLE, "caption": T.CAPTION, "numbered": T.NUMBERED_TITLE}
+    told = F.array_compact(F.array(*[F.when(T.squeezed(F.col("text")).rlike(p) & (F.lit(k != "numbered") | F.col("text").rlike(T.DIVISION_WORD)), F.lit(k)) for k, p in tests.items()]))
+    return fx.frame(spark, "shouted").select("id", F.array_join(told, ",").alias("told"))
+
+
+@query(f"""WITH {fx.view('page_images')} SELECT book, sum(coalesce(width * height > 600000 AND abs(width / height - page_aspect) < page_aspect * 0.04::DOUBLE AND NOT coalesce(cover, false), false)::INT)::BIGINT AS pictures FROM
+  (SELECT book, width::DOUBLE AS width, height::DOUBLE AS height, page_aspect, cover FROM page_images) GROUP BY book""")
+def page_pictures(spark, sf_dir):
+    return A.page_pictures(fx.frame(spark, "page_images")).select("book", F.coalesce("pictures", F.lit(0)).alias("pictures"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql as S
 
@@ -45,13 +46,30 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "reports": ("doc_id long, integrity double, valid boolean, note_ratio double, pages long, headings long, ocr_confidence double, suspicious boolean, unmatched_share double, suspicious_share double, unlinked_share double, needs_review boolean", [
         (1, 1.0, True, 1.0, 120, 12, None, False, 0.0, 0.0, 0.0, False), (2, 0.97, True, 0.5, 30, 0, None, False, 0.03, 0.1, 0.2, True), (3, 0.8, True, 1.0, 4, 0, 0.81, True, 0.5, 0.9, 2.0, True), (4, 0.1, False, 0.0, 9, 0, 0.3, True, 1.0, 1.0, 1.0, True),
     ]),
-    "regions": ("doc_id long, page long, region long, x0 double, y0 double, x1 double, y1 double", [(d, p, 10 * p + k, 60.0, 100.0 + 150 * k, 300.0 + 40 * d, 180.0 + 150 * k) for d in range(40) for p in (1, 2) for k in (0, 1)]),
+    "page_images": ("book long, width long, height long, page_aspect double, cover boolean", [
+        (1, 1700, 2200, 0.7727, False), (1, 1700, 2200, 0.7727, True), (1, 400, 518, 0.7727, False), (1, 2200, 1700, 0.7727, False), (2, 1000, 1400, None, False), (3, 1000, 1400, 0.7, False), (3, 1010, 1400, 0.7, None),
+    ]),
+    "shouted": ("id long, text string", [
+        (1, "BÖLÜM 3"), (2, "KISIM IV"), (3, "CAPÍTULO 2"), (4, "İÇİNDEKİLER"), (5, "TABLE DES MATIÈRES"), (6, "KAYNAKÇA"), (7, "ŞEKİL 2. Nehir"), (8, "Fig. 3: Bridge"), (9, "çizelge 12 – yıllar"), (10, "RÉFÉRENCES"),
+        (11, "Partition walls"), (12, "CHAPTER 3. The Mill"), (13, "Bölümler"), (14, "المراجع"), (15, "Contents of the box"), (16, "KİTAP İKİ"), (17, "Table of 3 rows"),
+    ]),
     "paragraph_nodes": ("doc_id long, seq long, role string, text string", [
         (1, 1, "PARAGRAPH", "The river rose in the"), (1, 2, "FOOTNOTE", "1 A note."), (1, 3, "PARAGRAPH", "night and mor-"), (1, 4, "PAGE_NUMBER", "12"), (1, 5, "PARAGRAPH", "ning came."), (1, 6, "PARAGRAPH", "A new start,”"), (1, 7, "PARAGRAPH", "he said."), (1, 8, "HEADING", "Two"), (1, 9, "PARAGRAPH", "lower but cut"), (1, 10, "QUOTE", "a quote"), (1, 11, "QUOTE", "goes on"),
     ]),
 }
 
 
+def regions(blocks: DataFrame) -> DataFrame:
+    """Two boxes on every page of every document, wider the further its number lies in a cycle of forty."""
+    pages = blocks.select("doc_id", "page").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    top = 100.0 + 150.0 * F.col("k")
+    return pages.select("doc_id", "page", (10 * F.col("page") + F.col("k")).cast("long").alias("region"), F.lit(60.0).alias("x0"), top.alias("y0"), (300.0 + 40.0 * (F.col("doc_id") % 40)).alias("x1"), (top + 80.0).alias("y1"))
+
+
+REGIONS = """regions AS (SELECT doc_id, page, (10 * page + k)::BIGINT AS region, 60.0::DOUBLE AS x0, 100.0::DOUBLE + 150 * k AS y0, 300.0::DOUBLE + 40 * (doc_id % 40) AS x1, 180.0::DOUBLE + 150 * k AS y1
+  FROM (SELECT DISTINCT doc_id, page FROM blocks), range(2) t(k))"""
+
+
 def frame(spark: SparkSession, name: str) -> DataFrame:
     ddl, rows = TABLES[name]
     return spark.createDataFrame(rows, ddl)

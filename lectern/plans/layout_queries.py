@@ -148,25 +148,25 @@ def text_measure(spark, sf_dir):
     return L.text_measure(_blocks(spark, sf_dir, True))
 
 
-_REGIONS = fx.view("regions")
+_REGIONS = fx.REGIONS
 
 
 @query(f"""WITH {V1}, {_REGIONS} SELECT doc_id, page, i FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM regions t WHERE t.doc_id = b.doc_id AND t.page = b.page AND (b.x1 - b.x0) * (b.y1 - b.y0) > 0
   AND greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) >= 0.35::DOUBLE * (b.x1 - b.x0) * (b.y1 - b.y0))""")
 def overlap_anti_join(spark, sf_dir):
-    return L.overlap_anti(_blocks(spark, sf_dir), fx.frame(spark, "regions")).select("doc_id", "page", "i")
+    return L.overlap_anti(_blocks(spark, sf_dir), fx.regions(_blocks(spark, sf_dir))).select("doc_id", "page", "i")
 
 
 @query(f"""WITH {V1}, {_REGIONS} SELECT b.doc_id, b.page, b.i, r.region FROM blocks b JOIN regions r ON r.doc_id = b.doc_id AND r.page = b.page
   WHERE (b.x0 + b.x1) / 2 BETWEEN r.x0 AND r.x1 AND (b.y0 + b.y1) / 2 BETWEEN r.y0 AND r.y1""")
 def containment_join(spark, sf_dir):
-    return L.centre_inside(_blocks(spark, sf_dir), fx.frame(spark, "regions")).select("doc_id", "page", "i", "region")
+    return L.centre_inside(_blocks(spark, sf_dir), fx.regions(_blocks(spark, sf_dir))).select("doc_id", "page", "i", "region")
 
 
 @query(f"""WITH {V1}, {_REGIONS}, near AS (SELECT r.doc_id, r.page, r.region, b.i AS caption, b.text AS caption_text, CASE WHEN b.y1 <= r.y0 THEN r.y0 - b.y1 WHEN b.y0 >= r.y1 THEN b.y0 - r.y1 END AS gap, CASE WHEN b.y0 >= r.y1 THEN 1 ELSE 0 END AS below
   FROM regions r JOIN blocks b USING (doc_id, page)) SELECT doc_id, page, region, caption, caption_text, gap FROM near WHERE gap <= 60 QUALIFY row_number() OVER (PARTITION BY doc_id, page, region ORDER BY gap, below, caption) = 1""")
 def nearest_caption(spark, sf_dir):
-    return L.nearest_caption(fx.frame(spark, "regions"), _blocks(spark, sf_dir))
+    return L.nearest_caption(fx.regions(_blocks(spark, sf_dir)), _blocks(spark, sf_dir))
 
 
 _CONTEXT = f"""{V1}, ctx AS (SELECT doc_id, i, page, text, {S.squeezed('text')} AS t, x0, x1, font_size / 10.0::DOUBLE AS r, y0 - lag(y1) OVER w AS above, lead(y0) OVER w - y1 AS below,

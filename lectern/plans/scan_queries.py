@@ -178,7 +178,7 @@ def type_area(spark, sf_dir):
 
 
 _V1N = f"""{S.blocks_by_document()}, kinds AS (SELECT DISTINCT doc_id, page, CASE doc_id % 3 WHEN 0 THEN 'NATIVE' WHEN 1 THEN 'SCANNED' ELSE 'MIXED' END AS kind FROM blocks WHERE doc_id % 7 <> 0),
-native AS (SELECT * FROM blocks WHERE i % 2 = 0), ocr AS (SELECT doc_id, page, i + 100000 AS i, text, x0 + CASE WHEN i % 4 = 0 THEN 400 ELSE 0 END AS x0, y0, x1 + CASE WHEN i % 4 = 0 THEN 400 ELSE 0 END AS x1, y1 FROM blocks WHERE i % 2 = 0)"""
+native AS (SELECT * FROM blocks), ocr AS (SELECT doc_id, page, i + 100000 AS i, text, x0 + CASE WHEN i % 4 = 0 THEN 400 ELSE 0 END AS x0, y0, x1 + CASE WHEN i % 4 = 0 THEN 400 ELSE 0 END AS x1, y1 FROM blocks)"""
 
 
 @query(f"""WITH {_V1N} SELECT n.doc_id, n.page, n.i, 'native' AS source FROM native n LEFT JOIN kinds k USING (doc_id, page) WHERE coalesce(kind, 'NATIVE') IN ('NATIVE', 'MIXED')
@@ -186,21 +186,24 @@ UNION ALL SELECT o.doc_id, o.page, o.i, 'ocr' FROM ocr o JOIN kinds k USING (doc
 UNION ALL SELECT o.doc_id, o.page, o.i, 'ocr' FROM ocr o JOIN kinds k USING (doc_id, page) WHERE kind = 'MIXED' AND NOT EXISTS (SELECT 1 FROM native t WHERE t.doc_id = o.doc_id AND t.page = o.page AND (o.x1 - o.x0) * (o.y1 - o.y0) > 0
   AND greatest(0, least(o.x1, t.x1) - greatest(o.x0, t.x0)) * greatest(0, least(o.y1, t.y1) - greatest(o.y0, t.y0)) >= 0.35::DOUBLE * (o.x1 - o.x0) * (o.y1 - o.y0))""")
 def page_routing(spark, sf_dir):
-    """Every other line as native text and as recognised text, some of it moved aside."""
+    """Every line as native text and as recognised text, some of it moved aside."""
     b = C.blocks_by_document(docs(spark, sf_dir))
     kinds = b.where("doc_id % 7 <> 0").select("doc_id", "page", F.when(F.col("doc_id") % 3 == 0, "NATIVE").when(F.col("doc_id") % 3 == 1, "SCANNED").otherwise("MIXED").alias("kind")).distinct()
-    native = b.where("i % 2 = 0").select("doc_id", "page", "i", "text", "x0", "y0", "x1", "y1")
+    native = b.select("doc_id", "page", "i", "text", "x0", "y0", "x1", "y1")
     aside = F.when(F.col("i") % 4 == 0, 400.0).otherwise(0.0)
     read = native.withColumn("x0", F.col("x0") + aside).withColumn("x1", F.col("x1") + aside).withColumn("i", F.col("i") + 100000)
     return scans.routed(native, read, kinds).select("doc_id", "page", "i", "source")
 
 
-@query(f"""WITH {S.blocks_by_document()}, n AS (SELECT doc_id, i AS seq, page, 'PARAGRAPH' AS role FROM blocks WHERE page % 2 = 1 UNION ALL SELECT DISTINCT doc_id, NULL, page + 1, 'IMAGE' FROM blocks WHERE page % 2 = 1)
+@query(f"""WITH {S.blocks_by_document()}, n AS (SELECT doc_id, i AS seq, page, 'PARAGRAPH' AS role FROM blocks WHERE trim(text) <> '' UNION ALL
+  SELECT doc_id, NULL, page, 'IMAGE' FROM (SELECT doc_id, unnest(range(1, max(page) + 2)) AS page FROM blocks GROUP BY doc_id) p WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = p.doc_id AND b.page = p.page AND trim(b.text) <> ''))
 SELECT doc_id, page, seq, role, row_number() OVER (PARTITION BY doc_id ORDER BY page, seq NULLS LAST)::BIGINT AS position FROM n""")
 def fallback_union(spark, sf_dir):
-    b = C.blocks_by_document(docs(spark, sf_dir)).where("page % 2 = 1")
-    nodes = b.select("doc_id", F.col("i").alias("seq"), "page", F.lit("PARAGRAPH").alias("role"))
-    return scans.with_fallbacks(nodes, b.select("doc_id", (F.col("page") + 1).alias("page")).distinct())
+    """Every line with text, and an image for every page that has none: an empty page, and the back cover after the last."""
+    b = C.blocks_by_document(docs(spark, sf_dir))
+    nodes = b.where(F.trim("text") != "").select("doc_id", F.col("i").alias("seq"), "page", F.lit("PARAGRAPH").alias("role"))
+    pages = b.groupBy("doc_id").agg(F.max("page").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + 1)).alias("page"))
+    return scans.with_fallbacks(nodes, pages.join(nodes.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti"))
 
 
 @query(f"""WITH {fx.view('verse_lines')}, g AS (SELECT *, y0 - lag(y1) OVER w AS gap, min(x0) OVER (PARTITION BY doc_id, run) AS base FROM verse_lines WINDOW w AS (PARTITION BY doc_id, run ORDER BY i)),

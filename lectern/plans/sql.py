@@ -13,12 +13,17 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def dialect(pattern: str) -> str:
+    """A pattern in the other engine's words: its case folding is Unicode's by itself, and it has no look-ahead."""
+    return pattern.replace("(?iu)", "(?i)").replace(r"(?![\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)")
+
+
 def count(column: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({column}, {q(pattern)}))::BIGINT"
+    return f"len(regexp_extract_all({column}, {q(dialect(pattern))}))::BIGINT"
 
 
 def has(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, {q(pattern)})"
+    return f"regexp_matches({column}, {q(dialect(pattern))})"
 
 
 def squeezed(column: str) -> str:
@@ -51,8 +56,8 @@ html_nodes AS (
     {squeezed(_unescaped("regexp_replace(substr(piece, strpos(piece, chr(2)) + 1), '<[^>]*>', ' ', 'g')"))} AS text
   FROM html_pieces WHERE contains(piece, chr(2))),
 html_enclosed AS (
-  SELECT *, coalesce(sum(CASE WHEN tag IN ('nav', 'aside', 'table') THEN 1 WHEN tag IN ('/nav', '/aside', '/table') THEN -1 ELSE 0 END)
-    OVER (PARTITION BY page_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) > 0 AS enclosed FROM html_nodes),
+  SELECT *, coalesce(sum(CASE WHEN tag IN ('nav', 'aside', 'table', 'li') THEN 1 WHEN tag IN ('/nav', '/aside', '/table', '/li') THEN -1 ELSE 0 END)
+    OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS enclosed FROM html_nodes),
 book_nodes AS (
   SELECT page_id, seq, tag, text FROM html_enclosed WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'p', 'li') AND NOT enclosed AND text <> '')"""
 

@@ -57,7 +57,7 @@ def blocks_by_source(docs: DataFrame) -> DataFrame:
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """Block nodes of web pages in order: tag, text, and whether a nav, aside, table or list item encloses them.
+    """Block nodes of web pages in order: tag, text, and whether a nav, aside, table or another list item encloses them.
 
     A node ends where the next block tag begins, whether or not it was closed.
     """
@@ -68,9 +68,10 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         body = F.replace(body, F.lit(entity), F.lit(char))
     nodes = pieces.where(F.col("piece").contains("\x02")).select("page_id", F.col("seq").cast("long"), tag.alias("tag"), T.squeezed(body).alias("text"))
-    order = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(F.when(F.col("tag").isin("nav", "aside", "table"), 1).when(F.col("tag").isin("/nav", "/aside", "/table"), -1).otherwise(0)).over(order)
-    return nodes.withColumn("enclosed", depth > 0)
+    order = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    opens, closes = ("nav", "aside", "table", "li"), ("/nav", "/aside", "/table", "/li")
+    depth = F.sum(F.when(F.col("tag").isin(*opens), 1).when(F.col("tag").isin(*closes), -1).otherwise(0)).over(order)
+    return nodes.withColumn("enclosed", F.coalesce(depth, F.lit(0)) > 0)
 
 
 def book_nodes(pages: DataFrame) -> DataFrame:
@@ -78,10 +79,12 @@ def book_nodes(pages: DataFrame) -> DataFrame:
     return html_nodes(pages).where(F.col("tag").isin("h1", "h2", "h3", "h4", "p", "li") & ~F.col("enclosed") & (F.col("text") != ""))
 
 
-def document_nodes(docs: DataFrame) -> DataFrame:
-    """Lines with text as paragraphs."""
-    rows = lines(docs.select("doc_id", "text"))
-    return rows.select(F.col("doc_id").alias("book"), F.col("i").alias("seq"), F.lit("p").alias("tag"), T.squeezed(F.col("line")).alias("text")).where("text <> ''")
+def document_nodes(docs: DataFrame, *carry: str) -> DataFrame:
+    """Lines with text as paragraphs, with the columns to carry, each with the one before it: a text's lines are in order as they are, so none is moved."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("seq"), T.squeezed(x).alias("text")))
+    solid = docs.select(F.col("doc_id").alias("book"), *carry, F.filter(numbered, lambda x: x["text"] != "").alias("rows"))
+    paired = solid.select("book", *carry, F.explode(F.transform("rows", lambda x, k: F.struct(x["seq"].alias("seq"), x["text"].alias("text"), F.get(F.col("rows"), k - 1)["text"].alias("before")))).alias("x"))
+    return paired.select("book", *carry, "x.seq", F.lit("p").alias("tag"), "x.text", "x.before")
 
 
 def ocr_payload(payloads: DataFrame) -> DataFrame:

@@ -42,20 +42,30 @@ def limiter(events: DataFrame, limit: int, window: float) -> DataFrame:
     return events.select(F.col("key").cast("string"), "event_id", "ts").groupBy("key").applyInPandas(fold, DECISION)
 
 
-def limiter_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same on a stream, with the accepted times of a key as its state."""
+def limiter_stream(events: DataFrame, limit: int, window: float, lateness: float | None = None) -> DataFrame:
+    """The same on a stream, with the accepted times of a key as its state.
+
+    A key that is silent for a window is forgotten: nothing it did counts any more. Requests that come later than
+    `lateness` seconds (a window, unless said) after the newest get no verdict.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = [pd.Timestamp(t).to_pydatetime() for t in state.get[0]] if state.exists else []
         out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
             ok, wait, times = decide(times, r.ts.to_pydatetime() if hasattr(r.ts, "to_pydatetime") else r.ts, limit, window)
             out.append((r.key, r.event_id, r.ts, ok, wait))
-        state.update(([t.isoformat() for t in times],))
+        if times:
+            state.update(([t.isoformat() for t in times],))
+            last = pd.Timestamp(times[-1] + timedelta(seconds=window))
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "event_id", "ts", "accepted", "retry_after"])
 
-    keyed = events.select(F.col("key").cast("string"), "event_id", "ts")
-    return keyed.groupBy("key").applyInPandasWithState(fold, DECISION, "times array<string>", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.select(F.col("key").cast("string"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", f"{window if lateness is None else lateness} seconds")
+    return keyed.groupBy("key").applyInPandasWithState(fold, DECISION, "times array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def queue_positions(jobs: DataFrame) -> DataFrame:

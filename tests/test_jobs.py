@@ -47,6 +47,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed == batch
 
 
+def test_silent_keys_leave_the_state(spark, tmp_path):
+    """After a window of silence by event time a key's state is gone, and its next request is judged afresh."""
+    schema = "key string, event_id long, ts timestamp"
+    batches = [[("a", 1, T0), ("b", 2, T0)], [("b", 3, T0 + timedelta(hours=5))], [("b", 4, T0 + timedelta(hours=9))], [("a", 5, T0 + timedelta(hours=9))]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = jobs.limiter_stream(stream, 1, 3600.0).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert {r.event_id: r.accepted for r in spark.table("silent").collect()} == dict.fromkeys(range(1, 6), True)
+    assert min(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"] and p["batchId"] >= 2) == 1
+
+
 def test_queue_and_expiry(spark):
     df = spark.createDataFrame([(1, "a", "queued", T0 + timedelta(seconds=5)), (1, "b", "ocr", T0), (1, "c", "queued", T0 + timedelta(seconds=1)), (2, "d", "queued", T0)], "queue long, job_id string, stage string, enqueued_at timestamp_ntz")
     assert {r.job_id: r.position for r in jobs.queue_positions(df).collect()} == {"a": 1, "b": -1, "c": 0, "d": 0}

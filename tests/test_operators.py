@@ -243,3 +243,25 @@ def test_empty_inputs(spark):
     assert flow.verse_runs(corpus.blocks_by_document(docs)).count() == 0
     assert layout.two_column_order(corpus.blocks_by_document(docs)).count() == 0
     assert repair.vocabulary(docs).count() == 0
+
+
+def test_foreign_packages(spark):
+    """Another folder, attributes in another order, nested items, named entities; broken files give an error row."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile media-type="a/b" full-path="book/pack.opf"/></rootfiles></container>')
+        z.writestr("book/pack.opf", '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item href="text/b%20c.xhtml" media-type="x" id="two"/><item media-type="x" href="a.xhtml" id="one"/></manifest><spine><itemref linear="yes" idref="one"/><itemref idref="two"/></spine></package>')
+        z.writestr("book/a.xhtml", '<html xmlns="http://www.w3.org/1999/xhtml"><body><h1>One&nbsp;&eacute;</h1><nav><p>skip</p></nav><ul><li><p>item <b>bold</b></p><ul><li>inner</li></ul></li></ul><table><tr><td><p>cell</p></td></tr></table></body></html>')
+        z.writestr("book/text/b c.xhtml", "<html><body><p>last\n  line</p><p>broken</body></html>")
+    books = spark.createDataFrame([(1, out.getvalue()), (2, b"no zip"), (3, None)], "doc_id long, epub binary")
+    got = [(r.doc_id, r.seq, r.tag, r.text, bool(r.error)) for r in epub.read_back(books).orderBy("doc_id", "seq").collect()]
+    assert got[:2] == [(1, 0, "h1", "One é", False), (1, 1, "li", "item boldinner", False)]
+    assert got[2:] == [(1, 2, None, None, True), (2, 0, None, None, True), (3, 0, None, None, True)]
+
+
+def test_pages_without_short_lines_stay_out_of_the_fold(spark):
+    wide = [(1, 1, i, "a line that runs the whole width of its column and more", 72.0, 500.0, 72.0 + 14 * i, 82.0 + 14 * i, 10.0) for i in range(12)]
+    assert flow.verse_runs(spark.createDataFrame(wide, "doc_id long, page long, i long, text string, x0 double, x1 double, y0 double, y1 double, font_size double")).count() == 0

@@ -32,6 +32,12 @@ def test_query_equals_its_sql(spark, other, name):
     assert ordered(tuple(r) for r in df.select(*columns).collect()) == ordered(tuple(r[i] for i in at) for r in result.fetchall())
 
 
+#: Queries whose cases the corpus does not hold; other tests have them.
+NOTHING_THERE = {"verse_runs", "misread_heads"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_other_queries_give_rows(spark, name):
+    rows = catalog.QUERIES[name](spark, SF).collect()
+    assert bool(rows) != (name in NOTHING_THERE)
+    assert all(any(v is not None for v in r) for r in rows)

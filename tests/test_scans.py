@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lectern.functions import geometry as G
 from lectern.functions import unicode as U
 from lectern.operators import blocks, layout, scans
-from lectern.plans import fixtures
+from lectern.plans import fixtures, scan_queries  # noqa: F401  (its rows are among the fixtures)
 
 
 @pytest.mark.parametrize(("shown", "read"), [("םולש", "שלום"), ("plain", "plain"), ("abc םולש", "abc שלום"), ("", "")])
@@ -86,7 +86,9 @@ def test_reviewers_may_fail_or_answer_less(spark):
             raise RuntimeError("no answer")
         return [{"doc_id": r["doc_id"], "seq": r["seq"], "role": "HEADING" if r["seq"] % 2 else "NONSENSE", "confidence": 0.9} for r in batch]
 
-    assert sorted(r.seq for r in blocks.reviewed_by(df, provider).collect()) == [1, 3, 5, 7, 17, 19]
+    got = blocks.reviewed_by(df, provider).collect()
+    assert sorted(r.seq for r in got if r.error is None) == [1, 3, 5, 7, 17, 19]
+    assert sorted((r.seq, r.new_role, r.error) for r in got if r.error) == [(s, None, "RuntimeError: no answer") for s in range(8, 16)]
 
 
 def test_title_candidates(spark):
