@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
+
 #: Edits allowed, as a share of an item's characters.
 BUDGET = 0.05
 #: The fewest edits an item may have (one word changed for another), as long as its pieces keep so many characters.
@@ -167,7 +169,7 @@ def matches(docs: DataFrame, items: DataFrame, budget: float = BUDGET, block_cha
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "start", "stop"])
 
-        found = found.unionByName(narrow.mapInArrow(run, SCHEMA))
+        found = found.unionByName(narrow.mapInArrow(tidy(run), SCHEMA))
     return found
 
 
@@ -182,5 +184,5 @@ def drop_leaky(docs: DataFrame, items: DataFrame, budget: float = BUDGET, block_
                 clean = [not (t.as_py() and scan(normal(t.as_py()))) for t in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
     return out

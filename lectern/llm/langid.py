@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
 from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 UNKNOWN = "und"
@@ -129,7 +130,7 @@ def sample_counts(docs: DataFrame, learn: Column, model_file: str = DEFAULT_MODE
                 good = [c for c in chunks if not any("\udc00" <= x <= "\udcff" for x in c)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(good), pa.string()), pa.array(good, pa.string())], ["lang", "chunk"])
 
-    counted = drawn.select("lang", "text").mapInArrow(run, "lang string, chunk string").groupBy("lang", "chunk").count().collect()
+    counted = drawn.select("lang", "text").mapInArrow(tidy(run), "lang string, chunk string").groupBy("lang", "chunk").count().collect()
     out: dict[str, dict[str, int]] = {}
     for r in counted:
         out.setdefault(r["lang"], {})[r["chunk"]] = r["count"]
@@ -137,7 +138,7 @@ def sample_counts(docs: DataFrame, learn: Column, model_file: str = DEFAULT_MODE
 
 
 def identify(docs: DataFrame, languages: list[str], log_p: np.ndarray, model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, lang_pred, score (posterior of the predicted language under equal priors), letters of every text."""
+    """doc_id, lang_pred, score (posterior of the predicted language under equal priors) of every text."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
     model = docs.sparkSession.sparkContext.broadcast(log_p.astype(np.float64))  # pieces x languages: a fixed size
 
@@ -168,4 +169,4 @@ def identify(docs: DataFrame, languages: list[str], log_p: np.ndarray, model_fil
             if ids:
                 yield judged(ids, texts)
 
-    return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return narrow.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

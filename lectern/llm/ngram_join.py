@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, keep, spare
+from ._common import forget, keep, spare, tidy
 
 WORDS = 5
 #: Jaccard threshold as a fraction.
@@ -182,7 +182,7 @@ def summaries(docs: DataFrame) -> DataFrame:
             none = [None] * COUNTER_PARTS
             yield _batches([none, none, none, none, none, list(range(COUNTER_PARTS)), pieces], kinds, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n long, cid long, x binary, part int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(tidy(run), "doc_id long, t long, n long, cid long, x binary, part int, counts binary")
 
 
 def frequencies(summary: DataFrame) -> np.ndarray:
@@ -198,7 +198,7 @@ def frequencies(summary: DataFrame) -> np.ndarray:
 
     total = np.zeros(COUNTERS, dtype=np.int64).reshape(COUNTER_PARTS, -1)
     parts = summary.where("part is not null").select("part", "counts").repartition(COUNTER_PARTS, "part")
-    for r in parts.mapInArrow(run, "part int, counts binary").collect():
+    for r in parts.mapInArrow(tidy(run), "part int, counts binary").collect():
         total[r["part"]] += np.frombuffer(r["counts"], dtype=np.int64)
     return total.reshape(-1)
 
@@ -233,7 +233,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if rows:
                 yield _batches([np.concatenate(c) for c in out], kinds, names)
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, parts int, id long, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(run), "token long, salt int, parts int, id long, n int, pos int")
 
 
 def shared(rows: DataFrame, tasks: int) -> DataFrame:
@@ -259,7 +259,7 @@ def shared(rows: DataFrame, tasks: int) -> DataFrame:
             part = [x[a : a + 100_000] for x in columns]
             yield _batches([*part, band(part[4])], kinds, names)
 
-    return rows.repartition(tasks, "token", "salt").mapInArrow(run, "token long, salt int, parts int, id long, n int, pos int, band long")
+    return rows.repartition(tasks, "token", "salt").mapInArrow(tidy(run), "token long, salt int, parts int, id long, n int, pos int, band long")
 
 
 def _salted(tokens: DataFrame) -> DataFrame:
@@ -338,9 +338,9 @@ def bloom(ids: DataFrame) -> Bloom:
                 held[part] = held[part] | x if part in held else x.copy()
         yield _batches([list(held), [x.tobytes() for x in held.values()]], [pa.int32(), pa.binary()], ["part", "bits"])
 
-    filled = ids.select(F.col(name).cast("long")).where(f"`{name}` is not null").mapInArrow(fill, "part int, bits binary")
+    filled = ids.select(F.col(name).cast("long")).where(f"`{name}` is not null").mapInArrow(tidy(fill), "part int, bits binary")
     total = np.zeros((pieces, size // 8 // pieces), dtype=np.uint8)
-    for r in filled.repartition(pieces, "part").mapInArrow(merge, "part int, bits binary").collect():
+    for r in filled.repartition(pieces, "part").mapInArrow(tidy(merge), "part int, bits binary").collect():
         total[r["part"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
     return Bloom(total.reshape(-1))
 
@@ -362,7 +362,7 @@ def arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
                         known.add(c)
             yield _batches([names, sets], [pa.int64(), pa.binary()], ["id", "x"])
 
-    return docs.select("text").mapInArrow(run, "id long, x binary").join(ids, "id", "left_semi").groupBy("id").agg(F.first("x").alias("x"))
+    return docs.select("text").mapInArrow(tidy(run), "id long, x binary").join(ids, "id", "left_semi").groupBy("id").agg(F.first("x").alias("x"))
 
 
 def overlap_bound(na: int, bits_a: bytes, nb: int, bits_b: bytes) -> int:
@@ -399,10 +399,10 @@ def links(pairs: DataFrame, maps: DataFrame, docs: DataFrame) -> DataFrame:
         a, b = (held.select(*[F.col(c).alias(side if c == "id" else f"{c}{side}") for c in held.columns]) for side in "ab")
         return some.join(a, "a").join(b, "b")
 
-    passed = keep(beside(pairs, maps).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(possible, "a long, b long"), "pairs")
+    passed = keep(beside(pairs, maps).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(tidy(possible), "a long, b long"), "pairs")
     ids = keep(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
     sets = keep(arrays(docs, ids), "sets")
-    found = keep(beside(passed, sets).select("a", "b", "xa", "xb").mapInArrow(certain, "a long, b long"), "links")
+    found = keep(beside(passed, sets).select("a", "b", "xa", "xb").mapInArrow(tidy(certain), "a long, b long"), "links")
     forget(passed, ids, sets)
     return found
 

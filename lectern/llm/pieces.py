@@ -174,7 +174,13 @@ class Lattice:
         """
         into, out_of = (self.stop, self.start) if forward else (self.start, self.stop)
         level = (into - self.first[self.chunk[into]] if forward else self.last[self.chunk[into]] - into).astype(np.int32)
-        order = np.lexsort((into, level))
+        bits = max(1, len(level).bit_length(), self.nodes.bit_length())
+        if 2 * bits + (int(level.max()).bit_length() if len(level) else 0) <= 63:  # all three in one number: a plain sort
+            key = (level.astype(np.int64) << 2 * bits) | (into.astype(np.int64) << bits) | np.arange(len(level))
+            key.sort()
+            order = key & (1 << bits) - 1
+        else:
+            order = np.lexsort((into, level))
         node = into[order]
         runs = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, dtype=np.int64)
         at = level[order][runs] if len(node) else runs

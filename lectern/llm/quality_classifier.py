@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, keep
+from ._common import forget, keep, tidy
 
 #: Labelled positives that the model is trained on.
 SAMPLE_TEXTS = 4000
@@ -203,7 +203,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rows = [[float(v) for v in features(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, x array<float>")
 
 
 def _added(rows: DataFrame, of_task) -> np.ndarray:
@@ -214,7 +214,7 @@ def _added(rows: DataFrame, of_task) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
-    parts = rows.select("x").mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "y"))
+    parts = rows.select("x").mapInArrow(tidy(run), "v array<double>").select(F.posexplode("v").alias("i", "y"))
     found = {r["i"]: r["y"] for r in parts.groupBy("i").agg(F.sum("y").alias("y")).collect()}
     return np.array([found[i] for i in sorted(found)])
 
@@ -288,4 +288,4 @@ def score(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
             values = net.scores(raw) if net else np.full(len(raw), prior)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
 
-    return narrow.mapInArrow(run, "doc_id long, score double")
+    return narrow.mapInArrow(tidy(run), "doc_id long, score double")

@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
 from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
 BATCH_CHARS = 400_000
 #: Lattice edges that a worker remembers, at about 35 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -378,7 +379,7 @@ def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model
                     columns = [rows.column("doc_id"), *(rows.column(c) for c in carry), pa.array(np.full(len(who), rank), pa.int32()), shown, pa.array(lengths, pa.int32()), pa.array(log_p[who], pa.float64()), pa.array(inclusion[who], pa.float64()), pa.array(decoded[who], pa.bool_())]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return narrow.mapInArrow(run, f"doc_id long, {kept}sample int, ids array<int>, n_pieces int, log_p double, log_inclusion double, decoded boolean")
+    return narrow.mapInArrow(tidy(run), f"doc_id long, {kept}sample int, ids array<int>, n_pieces int, log_p double, log_inclusion double, decoded boolean")
 
 
 def texts_of(vocab: Vocabulary, lists: pa.ListArray) -> list[str | None]:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import tidy
+
 KEYS = ("source", "lang", "version")
 SUMS = ("docs", "tokens", "bytes")
 # Fixed value: the pattern that cuts text before the byte-level merges of these vocabularies.
@@ -56,7 +58,7 @@ def count_tokens(docs: DataFrame, files: dict[str, str] | None = None) -> DataFr
             counts = [[{"version": v, "tokens": len(e.encode_ordinary(t)) if t else 0} for v, e in known.items()] for t in (x.as_py() for x in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "text_md5", "bytes")), pa.array(counts, kind)], ["doc_id", "source", "lang", "text_md5", "bytes", "counts"])
 
-    return narrow.mapInArrow(run, "doc_id long, source string, lang string, text_md5 string, bytes long, counts array<struct<version:string,tokens:long>>")
+    return narrow.mapInArrow(tidy(run), "doc_id long, source string, lang string, text_md5 string, bytes long, counts array<struct<version:string,tokens:long>>")
 
 
 def signed(counted: DataFrame, sign: int) -> DataFrame:
