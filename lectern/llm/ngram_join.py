@@ -30,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -90,7 +89,7 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in the bytes of several texts, and where each text's words begin. rows: byte offsets."""
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     solid = ~_SPACE[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -500,6 +499,12 @@ def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     (h,) = spare(keyed, "hash")
     hashed = F.xxhash64(*gone.columns)
     bits = keyed.sparkSession.sparkContext.broadcast(bloom(keep(gone.select(hashed.alias("id")), "keys")).bits)
-    may = F.pandas_udf(lambda x: pd.Series(Bloom(bits.value).may_hold(x.to_numpy())), "boolean")
+
+    def held(x):
+        import pandas as pd  # workers of the other passes do without it
+
+        return pd.Series(Bloom(bits.value).may_hold(x.to_numpy()))
+
+    may = F.pandas_udf(held, "boolean", F.PandasUDFType.SCALAR)
     told = keyed.withColumn(h, may(hashed))
     return told.where(~F.col(h)).drop(h).unionByName(told.where(h).drop(h).join(gone, gone.columns, "left_anti"))

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from itertools import chain, count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from ._common import tidy
 from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 250_000
 #: Lattice edges that a worker remembers, at about 35 bytes each.
 REMEMBERED = 500_000
 
@@ -405,8 +404,9 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "text", model_file:
     existing column of that name is replaced.
     """
 
-    @F.pandas_udf("string")
-    def texts(lists: pd.Series) -> pd.Series:
+    def texts(lists):
+        import pandas as pd  # sampling does without it
+
         return pd.Series(texts_of(vocabulary(model_file), pa.array(lists, pa.list_(pa.int32()), from_pandas=True)), dtype=object)
 
-    return encoded.withColumn(into, texts(F.col(ids).cast("array<int>")))
+    return encoded.withColumn(into, F.pandas_udf(texts, "string", F.PandasUDFType.SCALAR)(F.col(ids).cast("array<int>")))
