@@ -473,14 +473,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group, with all columns: that with the smallest doc_id (null last), then the smallest text hash;
     of rows equal in both the one whose other columns hash lowest. Rows without words all stay, as they link with nothing."""
     rows = grouped(docs)
-    keys = rows.where("n > 0").groupBy("g", "doc_id", "t").agg(F.count("*").alias("times"))
+    keys = keep(rows.where("n > 0").groupBy("g", "doc_id", "t").agg(F.count("*").alias("times")), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
     groups = keys.groupBy("g").agg(first, F.sum("times").alias("members")).where("members > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     i, t, row = spare(docs, "i", "t", "row")
     name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none"))
-    gone = keep(keys.join(groups, "g").select(name.alias(i), F.col("t").alias(t), "times", stays.alias("stays")).where("not stays or times > 1"), "copies")
-    forget(rows)
+    # Groups of over a thousandth of all rows, at most a thousand, are sent to all tasks; the others meet by shuffle.
+    groups = keep(groups, "groups")
+    total = keys.agg(F.sum("times")).first()[0] or 0
+    large = F.broadcast(groups.where(F.col("members") * 1000 > total))
+    met = keys.join(large, "g").unionByName(keys.join(large, "g", "left_anti").join(groups.where(F.col("members") * 1000 <= total), "g"))
+    gone = keep(met.select(name.alias(i), F.col("t").alias(t), "times", stays.alias("stays")).where("not stays or times > 1"), "copies")
+    forget(rows, keys, groups)
     keyed = docs.withColumn(i, name).withColumn(t, F.xxhash64("text"))
     out = _without(keyed, gone.select(i, t)).select(*docs.columns)
     several = gone.where("stays").select(i, t)
