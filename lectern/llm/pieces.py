@@ -103,7 +103,18 @@ class Vocabulary:
         """The chunks of a text, with its spaces as U+2581 and a leading one. No text: none."""
         if not text:
             return []
-        return CHUNK.findall(SPACE + text.replace(SPACE, OWN_SPACE).replace(" ", SPACE).replace("\n", OWN_BREAK))
+        if "  " in text or text[0] == " " or SPACE in text:
+            return CHUNK.findall(SPACE + text.replace(SPACE, OWN_SPACE).replace(" ", SPACE).replace("\n", OWN_BREAK))
+        # Single spaces only: the same chunks by plain splits.
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ") if i else ("", *line.split(" "))
+            if i:
+                out.append(OWN_BREAK)
+            if first:
+                out.append(first)
+            out += [SPACE + w for w in rest]
+        return out
 
     def spell(self, ids) -> list[int]:
         """Lattice ids as piece ids: characters without a piece become byte pieces."""

@@ -348,6 +348,8 @@ def gives_back(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray, texts: lis
     raw = vocab.raw(ids)
     ends = np.r_[0, np.cumsum(vocab.byte_length[ids])][begin]
     whole = raw.tobytes()
+    if ends[0] == 0 and whole == b"".join(b" " + t.encode() for t in texts) and (np.diff(ends) == [1 + len(t.encode()) for t in texts]).all():
+        return np.ones(len(texts), dtype=bool)
     return np.array([whole[a + 1 : b] == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)], dtype=bool)
 
 
@@ -372,7 +374,7 @@ def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model
                 keys = [x or 0 for x in part.column("doc_id").to_pylist()]
                 for rank, (who, ids, begin, log_p, inclusion) in enumerate(samples(vocab, texts, keys, k, seed, alpha)):
                     decoded = gives_back(vocab, ids, begin, texts)
-                    rows, lengths = part.take(pa.array(who, pa.int64())), np.diff(begin)[who]
+                    rows, lengths = part.select(["doc_id", *carry]).take(pa.array(who, pa.int64())), np.diff(begin)[who]
                     chosen = ids if len(who) == len(texts) else np.concatenate([ids[:0], *[ids[begin[t] : begin[t + 1]] for t in who]])
                     shown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(chosen))
                     columns = [rows.column("doc_id"), *(rows.column(c) for c in carry), pa.array(np.full(len(who), rank), pa.int32()), shown, pa.array(lengths, pa.int32()), pa.array(log_p[who], pa.float64()), pa.array(inclusion[who], pa.float64()), pa.array(decoded[who], pa.bool_())]

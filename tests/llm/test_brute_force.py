@@ -307,6 +307,14 @@ def test_round_trip_and_batches(docs):
     assert len(alone) == len(together)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(" \nab▁é", max_size=14))
+def test_chunks_by_splits_equal_the_pattern(text):
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    marked = pieces.SPACE + text.replace(pieces.SPACE, pieces.OWN_SPACE).replace(" ", pieces.SPACE).replace("\n", pieces.OWN_BREAK)
+    assert vocab.chunks(text) == (pieces.CHUNK.findall(marked) if text else [])
+
+
 def test_decoding_gives_back_every_sampled_text(spark, corpus, docs):
     encoded = queries.op4_sentencepiece(spark, corpus)
     got = sp_sampling.decode(encoded.select("doc_id", "ids")).collect()
