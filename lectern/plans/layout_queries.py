@@ -258,7 +258,7 @@ def footnote_links(spark, sf_dir):
 
 
 _END = f"""{fx.view('end_nodes')}, t AS (SELECT *, {S.squeezed('text')} AS t FROM end_nodes),
-f AS (SELECT *, role = 'HEADING' AND {S.has('t', T.ENDNOTE_HEADING)} AS opens, CASE WHEN role = 'HEADING' THEN nullif(regexp_extract(t, {S.q(T.CHAPTER_SCOPE)}, 1), '') END AS sc FROM t),
+f AS (SELECT *, role = 'HEADING' AND {S.has('t', T.ENDNOTE_HEADING)} AS opens, CASE WHEN role = 'HEADING' THEN nullif(regexp_extract(t, {S.q(S.dialect(T.CHAPTER_SCOPE))}, 1), '') END AS sc FROM t),
 o AS (SELECT *, last_value(CASE WHEN opens THEN seq END IGNORE NULLS) OVER w AS open_seq, last_value(CASE WHEN opens THEN level END IGNORE NULLS) OVER w AS open_level FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
 c AS (SELECT *, max(CASE WHEN role = 'HEADING' AND NOT opens AND sc IS NULL AND level <= open_level THEN 1 ELSE 0 END) OVER w AS closed,
   last_value(CASE sc WHEN 'III' THEN 3 WHEN '4' THEN 4 END IGNORE NULLS) OVER w AS scope FROM o WHERE open_seq IS NOT NULL WINDOW w AS (PARTITION BY doc_id, open_seq ORDER BY seq)),
