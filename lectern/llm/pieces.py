@@ -11,8 +11,12 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 #: Stand-ins that no valid text holds, for a real U+2581 and for a line feed.
@@ -58,7 +62,7 @@ class Vocabulary:
         keys = np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in nodes if p], dtype=np.int64)
         order = np.argsort(keys)
         self.trie_keys, self.trie_child = keys[order], (order + 1).astype(np.int64)
-        self.trie_piece = np.full(len(nodes), -1, dtype=np.int64)
+        self.trie_piece = np.full(len(nodes), -1, dtype=np.int32)
         self.trie_piece[[nodes[self.pieces[i]] for i in normal]] = normal
         # The most frequent characters step through a dense table; 0, the root, stands for no child.
         codes, times = np.unique(self.trie_keys & (1 << 21) - 1, return_counts=True)
@@ -76,28 +80,32 @@ class Vocabulary:
 
     def occurrences(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, stop, piece) of every occurrence of a piece in code points, longer ones first: the trie walked from all places together."""
-        place, node = np.arange(len(code)), np.zeros(len(code), dtype=np.int64)
+        columns = self.column[code].astype(np.int32)
+        rare_here = columns == COMMON
+        some_rare = bool(rare_here.any())
+        columns[rare_here] = 0
+        dense = self.dense.ravel()
+        place, node = np.arange(len(code), dtype=np.int32), np.zeros(len(code), dtype=np.int32)
         starts, stops, pieces = [], [], []
         depth = 0
         while len(place):
-            inside = place + depth < len(code)
-            place, node = place[inside], node[inside]
-            c = code[place + depth]
-            column = self.column[c]
-            rare = np.flatnonzero(column == COMMON)
-            child = self.dense[node, np.minimum(column, COMMON - 1)]
-            if len(rare):
-                key = node[rare] << 21 | c[rare]
-                at = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-                child[rare] = np.where(self.trie_keys[at] == key, self.trie_child[at], 0)
+            at = place + np.int32(depth)
+            if at[-1] >= len(code):  # places stay in order
+                inside = int(np.searchsorted(at, len(code)))
+                place, node, at = place[:inside], node[:inside], at[:inside]
+            child = dense[node.astype(np.int64) * COMMON + columns[at]]
+            if some_rare and len(rare := np.flatnonzero(rare_here[at])):
+                key = node[rare].astype(np.int64) << 21 | code[at[rare]]
+                known = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+                child[rare] = np.where(self.trie_keys[known] == key, self.trie_child[known], 0)
             found = np.flatnonzero(child)
-            place, node, depth = place[found], child[found].astype(np.int64), depth + 1
+            place, node, depth = place[found], child[found], depth + 1
             piece = self.trie_piece[node]
-            ends = piece >= 0
+            ends = np.flatnonzero(piece >= 0)
             starts.append(place[ends])
-            stops.append(place[ends] + depth)
+            stops.append(place[ends] + np.int32(depth))
             pieces.append(piece[ends])
-        return tuple(np.concatenate(x[::-1]).astype(np.int32) for x in (starts, stops, pieces))
+        return tuple(np.concatenate(x[::-1]).astype(np.int32, copy=False) for x in (starts, stops, pieces))
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, with its spaces as U+2581 and a leading one. No text: none."""
@@ -116,6 +124,42 @@ class Vocabulary:
             out += [SPACE + w for w in rest]
         return out
 
+    def chunked(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct chunks of texts, the place among them of every chunk of all texts, and how many each text has."""
+        if any(not t or "  " in t or t[0] == " " or SPACE in t for t in texts):
+            split = [self.chunks(t) for t in texts]
+            here: dict[str, int] = defaultdict(count().__next__)
+            which = np.fromiter(map(here.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+            return list(here), which, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        # Single spaces only: every word behind a space is a chunk; only distinct words are looked at for line breaks.
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        found = lists.flatten().dictionary_encode()
+        words, which = found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+        ends = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+        chunks = [SPACE + w for w in words]
+        broken = [i for i, w in enumerate(words) if "\n" in w]
+        if not broken:
+            return chunks, which, np.diff(ends, prepend=0)
+        place = dict(zip(chunks, range(len(chunks)), strict=True))
+        parts: list[int] = []
+        sizes, begin = np.ones(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for i in broken:
+            first, *rest = words[i].split("\n")
+            mine = [SPACE + first]
+            for w in rest:
+                mine += [OWN_BREAK, w] if w else [OWN_BREAK]
+            begin[i], sizes[i] = len(parts), len(mine)
+            parts += [place.setdefault(c, len(place)) for c in mine]
+        each = sizes[which]
+        stop = np.cumsum(each)
+        out = np.repeat(which, each)
+        many = np.flatnonzero(each > 1)
+        inner = np.arange(int(each[many].sum())) - np.repeat(np.cumsum(each[many]) - each[many], each[many])
+        out[np.repeat(stop[many] - each[many], each[many]) + inner] = np.array(parts, dtype=np.int64)[np.repeat(begin[which[many]], each[many]) + inner]
+        used, out = np.unique(out, return_inverse=True)  # a word with a line break is no chunk itself
+        names = list(place)
+        return [names[i] for i in used.tolist()], out, np.diff(stop[ends - 1], prepend=0)
+
     def spell(self, ids) -> list[int]:
         """Lattice ids as piece ids: characters without a piece become byte pieces."""
         out: list[int] = []

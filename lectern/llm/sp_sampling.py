@@ -19,9 +19,7 @@ piece are spelled in byte pieces, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +30,7 @@ from ._common import tidy
 from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
-BATCH_CHARS = 250_000
+BATCH_CHARS = 60_000
 #: Lattice edges that a worker remembers, at about 35 bytes each.
 REMEMBERED = 500_000
 
@@ -186,15 +184,12 @@ class _Path:
 
 def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: int, alpha: float):
     """For each sample rank: (text index, path, log p, perturbed value); and the first value left out of each text."""
-    split = [vocab.chunks(t) for t in texts]
+    here, occ_chunk, per_text = vocab.chunked(texts)
     steps = _table(vocab, alpha)
-    here: dict[str, int] = defaultdict(count().__next__)
-    occ_chunk = np.fromiter(map(here.__getitem__, chain.from_iterable(split)), dtype=np.int64)
-    steps.add(list(here))
+    steps.add(here)
     held = np.fromiter(map(steps.index.__getitem__, here), dtype=np.int64, count=len(here))
     steps.batches[held] += 1
     occ_first = steps.node[steps.begin[held]][occ_chunk]
-    per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     n = len(texts)
     occ_text = np.repeat(np.arange(n, dtype=np.int32), per_text)
     occ_begin = np.cumsum(per_text) - per_text
