@@ -96,17 +96,26 @@ def join_broken_lines(lines: Column) -> Column:
     return F.regexp_replace(F.aggregate(lines, F.lit(""), merge), r"[ \t]{2,}", " ")
 
 
+#: The deterministic repairs in their fixed order: kind, reason, repair. Spaces are only removed inside a line.
+HYGIENE = (
+    ("unicode_normalization", "typographic ligature spelled out", expand_ligatures),
+    ("unicode_normalization", "text of a symbol font recovered", recover_symbols),
+    ("punctuation_spacing", "third dot after a closing mark", lambda t: F.regexp_replace(t, r"([?!])\.\.(?![.…])", "$1...")),
+    ("control_character", "control characters dropped", lambda t: F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")),
+    ("punctuation_spacing", "space before a mark", lambda t: F.regexp_replace(t, r"(?<=[^\s.])[ \t]+([,;:!?])", "$1")),
+    ("punctuation_spacing", "space before a full stop", lambda t: F.regexp_replace(t, r"(?<=[^\s.])[ \t]+\.(?!\s*\.)", ".")),
+    ("punctuation_spacing", "no space behind a mark", lambda t: F.regexp_replace(t, rf"([,;:])(?={LETTER})", "$1 ")),
+    ("repeated_punctuation", "mark repeated", lambda t: F.regexp_replace(t, r"([,;:!?])\1+", "$1")),
+    ("punctuation_spacing", "space inside an opening quote", lambda t: F.regexp_replace(t, r"([“‘])[ \t]+(?=[\p{L}\p{N}])", "$1")),
+    ("punctuation_spacing", "space inside a closing quote", lambda t: F.regexp_replace(t, r"(?<=[\p{L}\p{N}.,!?…])[ \t]+”(?=\s|$|[\p{L}\p{N}])", "”")),
+)
+
+
 def hygiene(text: Column) -> Column:
-    """Deterministic text repairs, in their fixed order; spaces are only removed inside a line."""
-    text = recover_symbols(expand_ligatures(text))
-    text = F.regexp_replace(text, r"([?!])\.\.(?![.…])", "$1...")
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    text = F.regexp_replace(text, r"(?<=[^\s.])[ \t]+([,;:!?])", "$1")
-    text = F.regexp_replace(text, r"(?<=[^\s.])[ \t]+\.(?!\s*\.)", ".")
-    text = F.regexp_replace(text, rf"([,;:])(?={LETTER})", "$1 ")
-    text = F.regexp_replace(text, r"([,;:!?])\1+", "$1")
-    text = F.regexp_replace(text, r"([“‘])[ \t]+(?=[\p{L}\p{N}])", "$1")
-    return F.regexp_replace(text, r"(?<=[\p{L}\p{N}.,!?…])[ \t]+”(?=\s|$|[\p{L}\p{N}])", "”")
+    """All deterministic repairs of a text."""
+    for _, _, repair in HYGIENE:
+        text = repair(text)
+    return text
 
 
 def words(text: Column) -> Column:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .blocks import match_case
 
 # Thresholds of evidence.
 CANONICAL, FRAGMENT, OBSERVED, RATIO, COMMON_LETTER, STRAY = 8, 5, 1, 100, 100, 2
 CONFUSION_MIN = 6
 CONFUSIONS = (("rn", "m"), ("vv", "w"))
+GLYPHS = {"0": "OÖD", "1": "Iİ", "2": "Z", "3": "B", "4": "A", "5": "SŞ", "6": "GĞŞB", "7": "T", "8": "B", "9": "GŞ", "!": "Iİ", "|": "Iİ", "«": "H"}
+GLYPHS_MOST, SEEN_TWICE, WORD_EDGE = 3, 2, ",.;:!?()\"“”‘’'«»"
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -103,6 +106,99 @@ def hygiene_log(rows: DataFrame) -> DataFrame:
     return fixed.where("original <> corrected")
 
 
+def hygiene_changes(rows: DataFrame) -> DataFrame:
+    """doc_id, i, kind, grade, original, corrected, reason, confidence: every step of hygiene that changes a line."""
+    at = rows.where(T.hygiene(F.col("line")) != F.col("line")).select("doc_id", "i", F.col("line").alias("t0"))
+    for n, (_, _, step) in enumerate(T.HYGIENE):
+        at = at.withColumn(f"t{n + 1}", step(F.col(f"t{n}")))
+
+    def entry(n: int, kind: str, reason: str) -> Column:
+        return F.when(F.col(f"t{n}") != F.col(f"t{n + 1}"), _entry(F.lit(kind), F.lit("safe"), F.col(f"t{n}"), F.col(f"t{n + 1}"), F.lit(reason), F.lit(1.0)))
+
+    steps = F.array_compact(F.array(*[entry(n, kind, reason) for n, (kind, reason, _) in enumerate(T.HYGIENE)]))
+    return at.select("doc_id", "i", F.explode(steps).alias("e")).select("doc_id", "i", "e.*")
+
+
+def _entry(kind: Column, grade: Column, original: Column, corrected: Column, reason: Column, confidence: Column) -> Column:
+    return F.struct(kind.alias("kind"), grade.alias("grade"), original.alias("original"), corrected.alias("corrected"), reason.alias("reason"), F.bround(confidence, 6).alias("confidence"))
+
+
+def word_repairs(vocab: DataFrame) -> DataFrame:
+    """doc_id, word, candidate, grade, reason, confidence: what a rare word of three letters or more stands for.
+
+    Lost marks come before misread glyphs; a refused mark is reported unless a glyph repair holds.
+    """
+    rare = (F.length("word") >= 3) & (F.col("freq") <= 2)
+    marks = diacritic_candidates(vocab).where(rare)
+    taken = F.col("decision") == "accepted"
+    sure = F.when(taken, F.least(F.lit(0.99), 0.90 + F.least(F.col("candidate_freq"), F.lit(500)) / 5000.0)).otherwise(F.lit(0.45))
+    marks = marks.select("doc_id", "word", "candidate", F.when(taken, "confident").otherwise("uncertain").alias("grade"), F.when(taken, "lost mark").otherwise(F.col("decision")).alias("reason"), sure.alias("confidence"), F.when(taken, 0).otherwise(2).alias("turn"))
+    glyphs = glyph_repairs(vocab).select("doc_id", "word", "candidate", F.lit("confident").alias("grade"), F.lit("misread glyph").alias("reason"), "confidence", F.lit(1).alias("turn"))
+    first = F.min_by(F.struct("candidate", "grade", "reason", F.bround("confidence", 6).alias("confidence")), "turn")
+    return marks.union(glyphs).groupBy("doc_id", "word").agg(first.alias("r")).select("doc_id", "word", "r.*")
+
+
+def repaired(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, i, text), and a log of every change made and every one refused.
+
+    Every line goes through hygiene, word repairs and rejoined splits in turn; the evidence is the vocabulary of the
+    documents as they came. Log: doc_id, i, kind, grade (safe, confident, uncertain: refused), original, corrected,
+    reason, confidence. Null texts have no lines; a document's repairs meet its lines as one map, which holds its rare
+    words with a likely reading only.
+    """
+    vocab = vocabulary(docs)
+    parts = F.split("text", "\n")
+    rows = docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
+    value = F.struct("candidate", "grade", "reason", "confidence")
+    maps = word_repairs(vocab).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", value.alias("r")))).alias("repairs"))
+    clean = rows.select("doc_id", "i", T.hygiene(F.col("line")).alias("line")).join(maps, "doc_id", "left")
+    tokens = F.regexp_extract_all("line", F.lit(rf"{T.LETTER}+|[^{T.LETTER[1:]}+"), F.lit(0))
+    reading = lambda t: F.try_element_at("repairs", T.fold(t))
+    word = F.transform(tokens, lambda t: F.when(reading(t)["grade"] == "confident", match_case(reading(t)["candidate"], t)).otherwise(t))
+    spelled = clean.select("doc_id", "i", F.when(F.col("repairs").isNull(), F.col("line")).otherwise(F.array_join(word, "")).alias("line"))
+    seen = F.filter(tokens, lambda t: reading(t).isNotNull())
+    entry = F.transform(seen, lambda t: _entry(F.lit("ocr_character"), reading(t)["grade"], t, match_case(reading(t)["candidate"], t), reading(t)["reason"], reading(t)["confidence"]))
+    words = clean.where("repairs is not null").select("doc_id", "i", F.explode(entry).alias("e")).select("doc_id", "i", "e.*")
+    judged = split_candidates(spelled, vocab)
+    joins = split_applied(judged)
+    shut = joins.groupBy("doc_id", "i").agg(F.collect_set("pos").alias("shut"))
+    pieces = F.split("line", " ")
+    gap = lambda n: F.when((n + 1 == F.size(pieces)) | F.array_contains("shut", n.cast("long")), "").otherwise(" ")
+    whole = F.array_join(F.transform(pieces, lambda p, n: F.concat(p, gap(n))), "")
+    texts = spelled.join(shut, ["doc_id", "i"], "left").select("doc_id", "i", F.when(F.col("shut").isNull(), F.col("line")).otherwise(whole).alias("text"))
+    refused = judged.where("decision = 'both are words'")
+    splits = joins.withColumn("grade", F.lit("confident")).union(refused.withColumn("grade", F.lit("uncertain")))
+    splits = splits.select("doc_id", "i", _entry(F.lit("word_split"), F.col("grade"), F.concat_ws(" ", "left", "right"), F.concat("left", "right"), F.when(F.col("grade") == "confident", "split word").otherwise(F.col("decision")), F.col("confidence")).alias("e")).select("doc_id", "i", "e.*")
+    return texts, hygiene_changes(rows).union(words).union(splits)
+
+
+def reread_titles(titles: DataFrame, vocab: DataFrame) -> DataFrame:
+    """doc_id, seq, text, corrected, words: titles whose misread glyphs give way to words the document has elsewhere.
+
+    A word with one to three digits or marks of the table is read in every way the table allows, in the order of the
+    table; of the readings used twice or more the most frequent stands, the first among equals. Numbers, words that only
+    end in an exclamation mark and words without such a reading stay. White space becomes single spaces.
+    """
+    edge = "[" + "".join(f"\\{c}" for c in WORD_EDGE if c != "!") + "]*"
+    glyph = "[" + "".join(f"\\{c}" if not c.isdigit() else c for c in GLYPHS) + "]"
+    split = titles.select("doc_id", "seq", T.squeezed(F.col("text")).alias("text"))
+    found = split.select("doc_id", "seq", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    whole = rf"^({edge})(.*?)({edge})$"
+    found = found.select("doc_id", "seq", "pos", *[F.regexp_extract("token", whole, n).alias(c) for n, c in ((1, "lead"), (2, "core"), (3, "tail"))])
+    slots = F.regexp_count("core", F.lit(glyph))
+    found = found.where(F.col("core").rlike(r"\p{L}") & slots.between(1, GLYPHS_MOST) & ~(F.col("core").endswith("!") & (slots == 1)))
+    table = F.create_map(*[F.lit(x) for k, v in GLYPHS.items() for x in (k, v)])
+    letters = lambda c: F.split(F.when(F.upper("core") == F.col("core"), table[c]).otherwise(F.translate(table[c], "OÖDIİZBASŞGĞTH", "oödıizbasşgğth")), "")
+    ways = F.transform(F.split("core", ""), lambda c: F.coalesce(letters(c), F.array(c)))
+    readings = F.aggregate(ways, F.array(F.lit("")), lambda done, way: F.flatten(F.transform(done, lambda r: F.transform(way, lambda c: F.concat(r, c)))))
+    options = found.select("doc_id", "seq", "pos", "lead", "tail", F.posexplode(readings).alias("turn", "reading")).withColumn("word", T.fold(F.col("reading")))
+    known = options.join(vocab.where(F.col("freq") >= SEEN_TWICE), ["doc_id", "word"])
+    best = known.groupBy("doc_id", "seq", "pos").agg(F.max_by(F.concat("lead", "reading", "tail"), F.struct("freq", -F.col("turn"))).alias("token"))
+    changes = best.groupBy("doc_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("changes"))
+    fixed = F.array_join(F.transform(F.split("text", " "), lambda t, n: F.coalesce(F.try_element_at("changes", n), t)), " ")
+    return split.join(changes, ["doc_id", "seq"], "left").select("doc_id", "seq", "text", F.when(F.col("changes").isNull(), F.col("text")).otherwise(fixed).alias("corrected"), F.coalesce(F.size("changes"), F.lit(0)).cast("long").alias("words"))
+
+
 def suspicious(rows: DataFrame) -> DataFrame:
     """Passages a recogniser may have misread, by kind: digits in a word, a case flip, a letter four times."""
     kinds = (("digit", rf"{T.LETTER}+[0-9]+{T.LETTER}+"), ("case", r"\p{Ll}+\p{Lu}+\p{Ll}*"), ("repeat", "aaaa+|bbbb+|cccc+|dddd+|eeee+|ffff+|gggg+|hhhh+|iiii+|jjjj+|kkkk+|llll+|mmmm+|nnnn+|oooo+|pppp+|qqqq+|rrrr+|ssss+|tttt+|uuuu+|vvvv+|wwww+|xxxx+|yyyy+|zzzz+"))

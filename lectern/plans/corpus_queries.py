@@ -191,6 +191,30 @@ def hygiene_log(spark, sf_dir):
     return repair.hygiene_log(C.lines(docs(spark, sf_dir)))
 
 
+@query()
+def repair_log(spark, sf_dir):
+    """Every change of hygiene, words and splits over all documents, and every refusal."""
+    return repair.repaired(docs(spark, sf_dir))[1]
+
+
+_MENDED = {(1, 1): "A Summary, of it, and more!", (1, 3): "Guzel GUZEL Özel summary", (1, 5): "gibi and Gibi", (1, 6): "", (1, 7): "fine “words", (2, 0): "summary sumrnary summary", (2, 1): "plain", (3, 0): ""}
+
+
+@query(f"SELECT v.doc_id::BIGINT AS doc_id, v.i::BIGINT AS i, v.text FROM (VALUES {', '.join(f'({d}, {i}, {S.q(t)})' for (d, i), t in _MENDED.items())}) v(doc_id, i, text)")
+def repaired_lines(spark, sf_dir):
+    """Worn lines after all repairs; the SQL states the answers. The lines of evidence stay as they are and are left out."""
+    return repair.repaired(fx.frame(spark, "worn_texts"))[0].where("length(text) < 40")
+
+
+_READ = {(1, 1): ("BİL6İ5AYAR ÇA6I", "BİLGİSAYAR ÇAĞI", 2), (1, 2): ("(6EY)", "(ŞEY)", 1), (1, 3): ("A sh0ck, what sh0ck!", "A shock, what sh0ck!", 1), (1, 4): ("2041 AND 6", "2041 AND 6", 0), (1, 5): ("0000X", "0000X", 0), (1, 6): ("GELD!", "GELD!", 0), (1, 7): ("«AFTA", "«AFTA", 0), (1, 8): ("", "", 0), (2, 1): ("6EY", "6EY", 0)}
+
+
+@query(f"SELECT v.doc_id::BIGINT AS doc_id, v.seq::BIGINT AS seq, v.text, v.corrected, v.words::BIGINT AS words FROM (VALUES {', '.join(f'({d}, {s}, {S.q(t)}, {S.q(c)}, {n})' for (d, s), (t, c, n) in _READ.items())}) v(doc_id, seq, text, corrected, words)")
+def titles_reread(spark, sf_dir):
+    """Titles in display type read again by the words of their document; the SQL states the answers."""
+    return repair.reread_titles(fx.frame(spark, "display_titles"), repair.vocabulary(fx.frame(spark, "title_words")))
+
+
 _KINDS = (("digit", rf"{S.LETTER}+[0-9]+{S.LETTER}+"), ("case", r"\p{Ll}+\p{Lu}+\p{Ll}*"), ("repeat", "|".join(f"{c * 4}+" for c in "abcdefghijklmnopqrstuvwxyz")))
 
 

@@ -53,6 +53,14 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         (1, "BÖLÜM 3"), (2, "KISIM IV"), (3, "CAPÍTULO 2"), (4, "İÇİNDEKİLER"), (5, "TABLE DES MATIÈRES"), (6, "KAYNAKÇA"), (7, "ŞEKİL 2. Nehir"), (8, "Fig. 3: Bridge"), (9, "çizelge 12 – yıllar"), (10, "RÉFÉRENCES"),
         (11, "Partition walls"), (12, "CHAPTER 3. The Mill"), (13, "Bölümler"), (14, "المراجع"), (15, "Contents of the box"), (16, "KİTAP İKİ"), (17, "Table of 3 rows"),
     ]),
+    "worn_texts": ("doc_id long, text string", [
+        (1, "summary " * 8 + "\nA Sumrnary , of it,and more!!\n" + "güzel " * 100 + "özel " * 100 + "\nGuzel GUZEL Ozel summary\n" + "gibi " * 8 + "\ngib i and Gib i\n\nﬁne “ words"),
+        (2, "summary sumrnary summary\nplain"), (3, ""), (4, None),
+    ]),
+    "display_titles": ("doc_id long, seq long, text string", [
+        (1, 1, "BİL6İ5AYAR  ÇA6I"), (1, 2, "(6EY)"), (1, 3, "A sh0ck, what sh0ck!"), (1, 4, "2041 AND 6"), (1, 5, "0000X"), (1, 6, "GELD!"), (1, 7, "«AFTA"), (1, 8, ""), (2, 1, "6EY"),
+    ]),
+    "title_words": ("doc_id long, text string", [(1, "bilgisayar bilgisayar çağı çağı şey şey şey gey gey shock shock hafta hafta geldi"), (2, "şey")]),
     "paragraph_nodes": ("doc_id long, seq long, role string, text string", [
         (1, 1, "PARAGRAPH", "The river rose in the"), (1, 2, "FOOTNOTE", "1 A note."), (1, 3, "PARAGRAPH", "night and mor-"), (1, 4, "PAGE_NUMBER", "12"), (1, 5, "PARAGRAPH", "ning came."), (1, 6, "PARAGRAPH", "A new start,”"), (1, 7, "PARAGRAPH", "he said."), (1, 8, "HEADING", "Two"), (1, 9, "PARAGRAPH", "lower but cut"), (1, 10, "QUOTE", "a quote"), (1, 11, "QUOTE", "goes on"),
     ]),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import audit, book, epub, flow, layout, notes, repair, structure, tables
+from lectern.plans import fixtures
 from lectern.sources import corpus
 
 
@@ -56,6 +57,30 @@ def vocab(spark, **freq):
     return spark.createDataFrame([(1, w, n) for w, n in freq.items()], "doc_id long, word string, freq long")
 
 
+def test_repairs_in_turn_are_logged_with_their_grade(spark):
+    texts, log = repair.repaired(fixtures.frame(spark, "worn_texts"))
+    got = {(r.doc_id, r.i, r.kind, r.grade, r.original, r.corrected) for r in log.collect()}
+    assert (1, 1, "ocr_character", "confident", "Sumrnary", "Summary") in got
+    assert (1, 1, "repeated_punctuation", "safe", "A Sumrnary, of it, and more!!", "A Sumrnary, of it, and more!") in got
+    assert (1, 3, "ocr_character", "confident", "Ozel", "Özel") in got
+    assert {g for *_, kind, g, original, _ in got if original in ("Guzel", "GUZEL")} == {"uncertain"}
+    assert {(o, c) for _, _, kind, _, o, c in got if kind == "word_split"} == {("gib i", "gibi"), ("Gib i", "Gibi")}
+    assert not any(d == 2 for d, *_ in got)  # twice is no evidence
+    assert texts.where("doc_id = 4").count() == 0 and texts.where("doc_id = 1").count() == 8
+
+
+def test_repairs_of_nothing(spark):
+    texts, log = repair.repaired(spark.createDataFrame([], "doc_id long, text string"))
+    assert texts.count() == 0 and log.count() == 0
+
+
+def test_titles_take_the_most_frequent_reading(spark):
+    vocab = spark.createDataFrame([(1, "gey", 9), (1, "şey", 3), (1, "bey", 9), (1, "iz", 1)], "doc_id long, word string, freq long")
+    titles = spark.createDataFrame([(1, 1, "6EY"), (1, 2, "1Z"), (1, 3, "66666EY"), (1, 4, None)], "doc_id long, seq long, text string")
+    got = {r.seq: (r.corrected, r.words) for r in repair.reread_titles(titles, vocab).collect()}
+    assert got == {1: ("GEY", 1), 2: ("1Z", 0), 3: ("66666EY", 0), 4: (None, 0)}
+
+
 def test_glyph_repair_needs_evidence(spark):
     v = vocab(spark, yaşarnım=1, yaşamım=12, modern=9, modem=40, corner=1, comer=3, burnt=1, bumt=20)
     got = {r.word: r.candidate for r in repair.glyph_repairs(v).collect()}
@@ -124,8 +149,6 @@ def test_titles_wrap_and_take_their_number(spark):
 
 
 def test_paragraphs(spark):
-    from lectern.plans import fixtures
-
     nodes = fixtures.frame(spark, "paragraph_nodes")
     runs = flow.paragraph_runs(nodes)
     texts = {r.first_seq: r.text for r in runs.collect()}
