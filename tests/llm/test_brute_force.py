@@ -315,19 +315,6 @@ def test_chunks_by_splits_equal_the_pattern(text):
     assert vocab.chunks(text) == (pieces.CHUNK.findall(marked) if text else [])
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab\n \u2581\u00fc\u674e", max_size=14), max_size=5))
-def test_chunks_of_many_texts_equal_those_of_each(texts):
-    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
-    names, which, sizes = vocab.chunked(texts)
-    assert len(set(names)) == len(names) == len(set(which.tolist()))
-    at = 0
-    for text, n in zip(texts, sizes, strict=True):
-        assert [names[i] for i in which[at : at + n]] == vocab.chunks(text)
-        at += n
-    assert at == len(which)
-
-
 def test_decoding_gives_back_every_sampled_text(spark, corpus, docs):
     encoded = queries.op4_sentencepiece(spark, corpus)
     got = sp_sampling.decode(encoded.select("doc_id", "ids")).collect()
