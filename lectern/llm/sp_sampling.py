@@ -6,8 +6,8 @@ backward sums of the lattice give each subtree's total probability, so the pertu
 drawn before it is opened and is an exact bound for it. Opening the best subtree draws its best leaf step by step; what
 hangs off that path beside it are the new subtrees, their maxima drawn below the leaf's value.
 
-All texts of a batch are searched together in arrays; chunks that a worker has met keep their lattice. Random numbers are hashes of (seed, row key, sample, place), so
-a row's samples depend on nothing but its key, its text and the seed.
+All texts of a batch are searched together in arrays; parts that a worker has met keep their lattice. Random numbers are
+hashes of (seed, row key, sample, place), so a row's samples depend on nothing but its key, its text and the seed.
 
 Each sample has its log probability under the model and its log inclusion score log(1 - exp(-exp(log_p - t))), where t
 is the perturbed value of the first leaf left out.
@@ -19,9 +19,8 @@ piece are spelled in byte pieces, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import chain, count
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +28,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import tidy
-from .pieces import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
+from .pieces import DEFAULT_MODEL, OWN_SPACE, SPACE, Edges, Vocabulary, add_up, vocabulary
 
 #: Characters of text searched together; a longer text is searched alone, at about 200 bytes of memory a character.
 BATCH_CHARS = 250_000
-#: Lattice edges that a worker remembers, at about 35 bytes each.
+#: Lattice edges that a worker remembers, at about 35 bytes each and the names of their nodes.
 REMEMBERED = 500_000
+#: Ends of parts have names at every so many characters, up to NAMED, a multiple: names of longer ones would grow with the square.
+APART = 4
+NAMED = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit counter-based generator."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(seed: np.ndarray, *places) -> np.ndarray:
     """Numbers in (0, 1) from seeds and counters."""
     for p in places:
         seed = _mix(seed ^ np.asarray(p).astype(np.uint64))
-    return ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    u = (seed >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
+
+class _Nodes(dict):
+    """Numbers of lattice nodes, named by the text from there to the part's end; 0 is every end.
+
+    What follows a node depends on that text alone, so parts with a common end share its nodes.
+    """
+
+    size = 1
+
+    def grow(self, parts: Iterable[str]) -> tuple[list[str], list[int], list[int]]:
+        """Number parts and those of their ends that are new: parts, how many of their nodes are new, the node after these.
+
+        Ends have names where their length is a multiple of APART and NAMED at most; all have numbers.
+        """
+        new, many, after, put, size = [], [], [], self.setdefault, self.size
+        for part in parts:
+            if put(part, size) != size:  # the end of one before it
+                continue
+            length = at = len(part)
+            known = 0
+            for at in range(length - NAMED if length > NAMED else length % APART or APART, length, APART):
+                known = put(part[at:], size + at)
+                if known != size + at:
+                    break
+            else:
+                at, known = length, 0
+            size += at
+            new.append(part)
+            many.append(at)
+            after.append(known)
+        self.size = size
+        return new, many, after
 
 
 class _Steps:
-    """The lattices of all chunks met so far as one table of conditional step probabilities, added to batch by batch.
+    """The lattices of all parts met so far as one table of conditional step probabilities, added to batch by batch.
 
-    A chunk's rows hold only its own numbers, so they are the same whatever stands before them.
+    A node's edges hold only its own numbers, so they are the same whatever stands before them.
     """
 
     def __init__(self, vocab: Vocabulary, alpha: float):
         self.vocab, self.alpha = vocab, alpha
-        self.index: dict[str, int] = {}
-        self.n_edges = self.n_runs = self.n_nodes = self.n_chunks = 0
-        for name, kind in (("stop", np.int32), ("piece", np.int32), ("upto", float), ("p", float), ("runs", np.int32), ("sizes", np.int32), ("node", np.int32), ("begin", np.int32), ("length", np.int32), ("batches", np.int32)):
+        self.index = _Nodes()
+        self.n_edges, self.n_nodes = 0, 1
+        for name, kind in (("stop", np.int32), ("piece", np.int32), ("upto", float), ("p", float), ("runs", np.int32), ("sizes", np.int32), ("after", np.int32), ("beta", float), ("batches", np.int32)):
             setattr(self, name, np.zeros(REMEMBERED + 1024, dtype=kind))  # pages that nothing is written to take no memory
 
     def _append(self, name: str, n: int, values: np.ndarray) -> None:
@@ -72,67 +113,96 @@ class _Steps:
             setattr(self, name, held)
         held[n : n + len(values)] = values
 
-    def add(self, chunks: list[str]) -> None:
-        """The rows of chunks that are new."""
-        new = [c for c in chunks if c not in self.index]
-        if not new:
-            return
-        lattice = Lattice(self.vocab, new)
-        weight = self.alpha * lattice.weights(self.vocab.log_p, self.vocab.byte_log_p)
-        beta, order, runs = lattice.sums(weight, forward=False)
-        start, stop = lattice.start[order], lattice.stop[order]
-        p = np.exp(weight[order] + beta[stop] - beta[start])
-        sizes = np.diff(np.r_[runs, len(order)])
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The first node of each part, edges added for nodes that are new."""
+        found = np.fromiter(map(self.index.get, parts, repeat(0)), dtype=np.int32, count=len(parts))
+        unknown = np.flatnonzero(found == 0).tolist()
+        if unknown:
+            names = [parts[i] for i in unknown]
+            self._add(*self.index.grow(dict.fromkeys(names)))
+            found[unknown] = [self.index[x] for x in names]
+        self.batches[found] = self.batches[found] + 1
+        return found
+
+    def _add(self, new: list[str], many: list[int], after: list[int]) -> None:
+        many, after, base = np.array(many), np.array(after), self.n_nodes
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        begin, last = np.cumsum(lengths + 1) - lengths - 1, np.cumsum(many) - 1
+        nodes = int(last[-1]) + 1
+        within = np.arange(nodes) - np.repeat(last + 1 - many, many)
+        places, left = np.repeat(begin, many) + within, np.repeat(lengths, many) - within
+        follows = np.arange(base + 1, base + nodes + 1)
+        follows[last] = after
+        for name, values in (("after", follows), ("beta", np.zeros(nodes)), ("batches", np.zeros(nodes, dtype=np.int32))):
+            self._append(name, base, values)
+        joined = ("\n".join(new) + "\n").replace(SPACE, OWN_SPACE).replace(" ", SPACE)
+        node = np.zeros(len(joined), dtype=np.int64)
+        node[places] = np.arange(base, base + nodes)
+        at = begin + many
+        while len(at):  # the known rest of each part
+            at, after = at[after > 0], after[after > 0]
+            node[at] = after
+            at, after = at + 1, self.after[after]
+        edges = Edges(self.vocab, joined, places)
+        weight = self.alpha * edges.weights(self.vocab.log_p, self.vocab.byte_log_p)
+        start, stop = node[edges.start], node[edges.stop]
+        add_up(self.beta, weight, start, stop, left[start - base])
+        order = np.argsort(start, kind="stable")
+        start, stop = start[order], stop[order]
+        p = np.exp(weight[order] + self.beta[stop] - self.beta[start])
+        sizes = np.bincount(start - base, minlength=nodes)
+        runs = np.cumsum(sizes) - sizes
         p /= np.repeat(np.add.reduceat(p, runs), sizes)
         upto = p.copy()
-        for j in range(1, int(sizes.max())):  # sums within each run, free of what stands before it
-            at = runs[sizes > j] + j
+        j, longer = 1, np.flatnonzero(sizes > 1)
+        while len(longer):  # sums within each run, free of what stands before it
+            at = runs[longer] + j
             upto[at] += upto[at - 1]
+            j += 1
+            longer = longer[sizes[longer] > j]
         upto = np.minimum(upto, 1.0)
         upto[runs + sizes - 1] = 1.0
-        node = np.full(lattice.nodes, -1, dtype=np.int32)  # run of edges that leave a node; -1 at a chunk's end
-        node[start[runs]] = self.n_runs + np.arange(len(runs), dtype=np.int32)
-        for name, values in (("stop", stop + self.n_nodes), ("piece", lattice.piece[order]), ("upto", upto), ("p", p)):
+        for name, values in (("stop", stop), ("piece", edges.piece[order]), ("upto", upto), ("p", p)):
             self._append(name, self.n_edges, values)
-        self._append("runs", self.n_runs, runs + self.n_edges)
-        self._append("sizes", self.n_runs, sizes)
-        self._append("node", self.n_nodes, node)
-        self._append("begin", self.n_chunks, lattice.first + self.n_nodes)
-        self._append("length", self.n_chunks, lattice.last - lattice.first + 1)
-        self._append("batches", self.n_chunks, np.zeros(len(new), dtype=np.int32))
-        self.index.update(zip(new, range(self.n_chunks, self.n_chunks + len(new)), strict=True))
-        self.n_edges, self.n_runs, self.n_nodes, self.n_chunks = self.n_edges + len(p), self.n_runs + len(runs), self.n_nodes + lattice.nodes, self.n_chunks + len(new)
+        for name, values in (("runs", runs + self.n_edges), ("sizes", sizes)):
+            self._append(name, base, values)
+        self.n_edges, self.n_nodes = self.n_edges + len(p), base + nodes
 
     def shrunk(self) -> _Steps:
-        """A new table of the chunks that several batches had, the most used first, of at most half the size."""
+        """A new table of the parts that several batches had, the most used first, of at most half the size."""
         out = _Steps(self.vocab, self.alpha)
-        names = list(self.index)
-        order = np.argsort(-self.batches[: self.n_chunks], kind="stable")
-        order = order[(self.batches[order] > 1) & (np.cumsum(self.length[order], dtype=np.int64) < REMEMBERED // 8)]
-        if not len(order):
+        order = np.argsort(-self.batches[: self.n_nodes], kind="stable")
+        order = order[self.batches[order] > 1]
+        while True:
+            stays = np.zeros(self.n_nodes, dtype=bool)
+            reached = order
+            while len(reached):
+                stays[reached] = True
+                reached = self.after[reached]
+                reached = reached[(reached > 0) & ~stays[reached]]
+            old = np.flatnonzero(stays)
+            sizes = self.sizes[old]
+            if sizes.sum() <= REMEMBERED // 2:
+                break
+            order = order[: len(order) * 3 // 4]
+        if not len(old):
             return out
-        length = self.length[order]
-        out.n_chunks, out.n_nodes = len(order), int(length.sum())
-        begin = np.cumsum(length) - length
-        shift = begin - self.begin[order]
-        old = np.arange(out.n_nodes) - np.repeat(shift, length)
-        run = self.node[old]
-        inner = np.flatnonzero(run >= 0)
-        sizes = self.sizes[run[inner]]
-        out.n_runs, out.n_edges = len(inner), int(sizes.sum())
+        moved = np.cumsum(stays) * stays  # new numbers from 1; an end stays 0
         runs = np.cumsum(sizes) - sizes
-        edges = np.arange(out.n_edges) + np.repeat(self.runs[run[inner]] - runs, sizes)
-        node = np.full(out.n_nodes, -1, dtype=np.int32)
-        node[inner] = np.arange(out.n_runs)
-        moved = np.repeat(np.repeat(shift, length)[inner], sizes)  # a chunk's nodes move together
-        for name, values in (("stop", self.stop[edges] + moved), ("piece", self.piece[edges]), ("upto", self.upto[edges]), ("p", self.p[edges]), ("runs", runs), ("sizes", sizes), ("node", node), ("begin", begin), ("length", length), ("batches", self.batches[order] // 2)):
+        edges = np.arange(int(sizes.sum())) + np.repeat(self.runs[old] - runs, sizes)
+        for name, values in (("stop", moved[self.stop[edges]]), ("piece", self.piece[edges]), ("upto", self.upto[edges]), ("p", self.p[edges])):
             out._append(name, 0, values)
-        out.index = {names[i]: k for k, i in enumerate(order)}
+        for name, values in (("runs", runs), ("sizes", sizes), ("after", moved[self.after[old]]), ("beta", self.beta[old]), ("batches", self.batches[old] // 2)):
+            out._append(name, 1, values)
+        out.n_edges, out.n_nodes = len(edges), len(old) + 1
+        moved = moved.tolist()
+        out.index.update((name, moved[i]) for name, i in self.index.items() if moved[i])
+        out.index.size = out.n_nodes
         return out
 
     def run_of(self, e: np.ndarray) -> np.ndarray:
-        """The run that each edge stands in."""
-        return np.searchsorted(self.runs[: self.n_runs], np.asarray(e, dtype=np.int32), side="right") - 1
+        """The node that each edge leaves."""
+        return np.searchsorted(self.runs[1 : self.n_nodes], np.asarray(e, dtype=np.int32), side="right")
 
     def logs(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of edges, and of all other edges of their runs together."""
@@ -145,8 +215,8 @@ class _Steps:
             return np.log(p), np.log(rest)
 
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Sampled edges from each node to its chunk's end, and which start each belongs to, step by step."""
-        who = np.flatnonzero(node >= 0).astype(np.int32)
+        """Sampled edges from each node to its part's end, and which start each belongs to, step by step."""
+        who = np.flatnonzero(node).astype(np.int32)
         node = node[who]
         walks, edges, step = [], [], 0
         base = _mix(seed ^ place.astype(np.uint64))
@@ -158,8 +228,8 @@ class _Steps:
                 left = left[u[left] >= self.upto[e[left]]]
             walks.append(who)
             edges.append(e)
-            node = self.node[self.stop[e]]
-            on = node >= 0
+            node = self.stop[e]
+            on = np.flatnonzero(node)
             who, node, step = who[on], node[on], step + 1
         return walks, edges
 
@@ -170,9 +240,10 @@ _tables: dict[tuple[Vocabulary, float], _Steps] = {}
 def _table(vocab: Vocabulary, alpha: float) -> _Steps:
     """The table of this worker; a smaller one when it has grown to REMEMBERED edges."""
     held = _tables.get((vocab, alpha))
-    if held is None or held.n_edges > REMEMBERED:
+    broken = held is not None and held.index.size != held.n_nodes  # an error left nodes without edges
+    if held is None or broken or held.n_edges > REMEMBERED:
         _tables.clear()
-        _tables[vocab, alpha] = held.shrunk() if held else _Steps(vocab, alpha)
+        _tables[vocab, alpha] = _Steps(vocab, alpha) if held is None or broken else held.shrunk()
     return _tables[vocab, alpha]
 
 
@@ -186,15 +257,9 @@ class _Path:
 
 def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: int, alpha: float):
     """For each sample rank: (text index, path, log p, perturbed value); and the first value left out of each text."""
-    split = [vocab.chunks(t) for t in texts]
+    parts, per_text = vocab.parts(texts)
     steps = _table(vocab, alpha)
-    here: dict[str, int] = defaultdict(count().__next__)
-    occ_chunk = np.fromiter(map(here.__getitem__, chain.from_iterable(split)), dtype=np.int64)
-    steps.add(list(here))
-    held = np.fromiter(map(steps.index.__getitem__, here), dtype=np.int64, count=len(here))
-    steps.batches[held] += 1
-    occ_first = steps.node[steps.begin[held]][occ_chunk]
-    per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    occ_first = steps.numbers(parts)
     n = len(texts)
     occ_text = np.repeat(np.arange(n, dtype=np.int32), per_text)
     occ_begin = np.cumsum(per_text) - per_text
@@ -234,7 +299,7 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
             parent, level = queue_path[rows, best], queue_level[rows, best]
             queue_value[rows, best] = -np.inf
             keep_e, keep_o, alt_e, alt_o = [], [], [], []
-            node = np.full(len(occ_chunk), -1, dtype=np.int32)
+            node = np.zeros(len(occ_first), dtype=np.int32)
             draw = _uniform(root, 2, sample)
             for q in np.unique(parent[alive]):
                 mine = alive & (parent == q)
@@ -261,13 +326,13 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
                     alt_e.append(pick)
                     o = p.occurrence[at]
                     alt_o.append(o)
-                    node[o] = steps.node[steps.stop[pick]]
+                    node[o] = steps.stop[pick]
                     still = sum(steps.p[i] for i in open_ if i != pick)
                     closed[t] = (int(level[t]), tried, float(np.log(still)) if still > 0 else -np.inf)
             branch = np.full(n, np.iinfo(np.int64).max)
             if alt_o:
                 branch[occ_text[np.array(alt_o)]] = alt_o
-            later = np.arange(len(occ_chunk)) > branch[occ_text]
+            later = np.arange(len(occ_first)) > branch[occ_text]
             node[later] = occ_first[later]
             walks, edges = steps.walk(node, _mix(root ^ np.uint64(sample))[occ_text], occ_place)
             path = complete(walks, edges, np.concatenate([*keep_e, np.array(alt_e, dtype=np.int64)]), np.concatenate([*keep_o, np.array(alt_o, dtype=np.int64)]))
@@ -311,8 +376,10 @@ def search(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed:
 
 def _spelled(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lattice ids of all texts as piece ids, and where each text's begin: a character without a piece becomes its bytes."""
-    ids = np.where(ids == vocab.line_break, vocab.spelled_break, ids)
     other = np.flatnonzero(ids >= vocab.size)
+    breaks = ids[other] == vocab.line_break
+    ids[other[breaks]] = vocab.spelled_break
+    other = other[~breaks]
     if not len(other):
         return ids, begin
     many = [vocab.spell([i]) for i in ids[other].tolist()]
@@ -343,14 +410,14 @@ def segment(vocab: Vocabulary, texts: list[str], keys: list[int], k: int, seed:
             yield int(t), rank, ids[begin[t] : begin[t + 1]].tolist(), float(total[t]), float(inclusion[t])
 
 
-def gives_back(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Whether the pieces of each text spell it."""
+def gives_back(vocab: Vocabulary, ids: np.ndarray, begin: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Whether the pieces of each text spell it: its bytes after a leading space."""
     raw = vocab.raw(ids)
     ends = np.r_[0, np.cumsum(vocab.byte_length[ids])][begin]
     whole = raw.tobytes()
-    if ends[0] == 0 and whole == b"".join(b" " + t.encode() for t in texts) and (np.diff(ends) == [1 + len(t.encode()) for t in texts]).all():
+    if ends[0] == 0 and (np.diff(ends) == np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))).all() and whole == b"".join(texts):
         return np.ones(len(texts), dtype=bool)
-    return np.array([whole[a + 1 : b] == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)], dtype=bool)
+    return np.array([whole[a:b] == t for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)], dtype=bool)
 
 
 def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model_file: str = DEFAULT_MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -371,9 +438,10 @@ def sample(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = 1.0, model
             for a, b in zip(cuts := np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), np.r_[cuts[1:], len(group)], strict=True):
                 part = batch.slice(a, b - a)
                 texts = part.column("text").to_pylist()
+                spelled = [b" " + t.encode() for t in texts]
                 keys = [x or 0 for x in part.column("doc_id").to_pylist()]
                 for rank, (who, ids, begin, log_p, inclusion) in enumerate(samples(vocab, texts, keys, k, seed, alpha)):
-                    decoded = gives_back(vocab, ids, begin, texts)
+                    decoded = gives_back(vocab, ids, begin, spelled)
                     rows, lengths = part.select(["doc_id", *carry]).take(pa.array(who, pa.int64())), np.diff(begin)[who]
                     chosen = ids if len(who) == len(texts) else np.concatenate([ids[:0], *[ids[begin[t] : begin[t + 1]] for t in who]])
                     shown = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(chosen))

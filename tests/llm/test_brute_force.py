@@ -315,6 +315,38 @@ def test_chunks_by_splits_equal_the_pattern(text):
     assert vocab.chunks(text) == (pieces.CHUNK.findall(marked) if text else [])
 
 
+def test_parts_are_cut_wherever_no_piece_crosses(docs):
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    within = {a + b for i, p in enumerate(vocab.pieces) if i not in vocab.byte_of for a, b in zip(p, p[1:])}
+    texts = ["", "a  b", "\n\n x\n", "▁▁x", " ", "日本語 漢字", "é😀😀x.", "", "end ", " start", "1,5 \x00", ""] + [t for _, t, *_ in docs][:40]
+    parts, sizes = vocab.parts(texts)
+    at = 0
+    for text, n in zip(texts, sizes, strict=True):
+        mine = parts[at : at + n]
+        at += n
+        assert "".join(mine).replace(pieces.OWN_BREAK, "\n") == (" " + text if text else "")
+        marked = [x.replace(pieces.SPACE, pieces.OWN_SPACE).replace(" ", pieces.SPACE) for x in mine]
+        assert all(x[-1] + y[0] not in within for x, y in zip(marked, marked[1:]))
+        assert all(a + b in within for x in marked for a, b in zip(x, x[1:]))
+    assert at == len(parts)
+
+
+def test_shared_nodes_keep_exact_probabilities_and_save_edges(docs, monkeypatch):
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    texts = ["nation" * 40 + "s", "x" + "nation" * 40 + "s", "nations nation ation", "日本語\n é😀 ▁", "aaaa" * 50] + [t for _, t, *_ in docs][:30]
+    for table in (sp_sampling.REMEMBERED, 0):  # 0: the table's arrays are replaced as it grows
+        monkeypatch.setattr(sp_sampling, "REMEMBERED", table)
+        sp_sampling._tables.clear()
+        for t, _, ids, lp, _ in sp_sampling.segment(vocab, texts, list(range(len(texts))), 2, alpha=0.5):
+            lattice = pieces.Lattice(vocab, vocab.chunks(texts[t]))
+            total = lattice.sums(0.5 * lattice.weights(vocab.log_p, vocab.byte_log_p), forward=True)[0][lattice.last].sum()
+            assert math.isclose(lp, 0.5 * vocab.log_p[ids].sum() - total, rel_tol=1e-9, abs_tol=1e-7)
+    chunks = {c for t in texts[5:] for c in vocab.chunks(t)}
+    sp_sampling._tables.clear()
+    list(sp_sampling.segment(vocab, texts[5:], list(range(5, len(texts))), 2, alpha=0.5))
+    assert sp_sampling._tables[vocab, 0.5].n_edges < 0.7 * len(pieces.Lattice(vocab, list(chunks)).start)
+
+
 def test_decoding_gives_back_every_sampled_text(spark, corpus, docs):
     encoded = queries.op4_sentencepiece(spark, corpus)
     got = sp_sampling.decode(encoded.select("doc_id", "ids")).collect()
