@@ -56,6 +56,8 @@ class Vocabulary:
         for i in normal:
             for n in range(1, len(self.pieces[i]) + 1):
                 nodes.setdefault(self.pieces[i][:n], len(nodes))
+        inner = {p[:-1] for p in nodes if p}
+        nodes = {p: k for k, p in enumerate(sorted(nodes, key=lambda p: p not in inner))}  # leaves last: they need no row
         keys = np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in nodes if p], dtype=np.int64)
         order = np.argsort(keys)
         self.trie_keys, self.trie_child = keys[order], (order + 1).astype(np.int64)
@@ -67,7 +69,7 @@ class Vocabulary:
         self.column = np.full(0x110000, COMMON - 1, dtype=np.int16)
         self.column[codes] = COMMON
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(nodes), COMMON), dtype=np.int32)
+        self.dense = np.zeros((max(1, len(inner)), COMMON), dtype=np.int32)
         own = self.column[self.trie_keys & (1 << 21) - 1]
         self.dense[self.trie_keys[own < COMMON] >> 21, own[own < COMMON]] = self.trie_child[own < COMMON]
         # Neighbours within a piece: between any other two characters no piece crosses.
@@ -104,6 +106,8 @@ class Vocabulary:
             starts.append(place[ends])
             stops.append(place[ends] + depth)
             pieces.append(piece[ends])
+            on = np.flatnonzero(node < len(self.dense))
+            place, node = place[on], node[on]
         return tuple(np.concatenate(x[::-1]).astype(np.int32) for x in (starts, stops, pieces))
 
     def chunks(self, text: str) -> list[str]:
